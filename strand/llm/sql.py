@@ -51,3 +51,24 @@ with v as (
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+with d as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, unnest(range(1, len(w) - 18)) as i, w from d where len(w) >= 20
+), h as (
+  select doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) as h from s
+), r as (
+  select doc_id, i from (select *, row_number() over (partition by h order by doc_id, i) as k from h) where k > 1
+), c as (
+  select distinct doc_id, unnest(range(i, i + 20)) as p from r
+), g as (
+  select doc_id, list(p) as gone from c group by doc_id
+), k as (
+  select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+    case when gone is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(gone, z[2])), lambda z: z[1]) end as kept
+  from d left join g on d.doc_id = g.doc_id
+)
+select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k
+"""
