@@ -72,3 +72,21 @@ with d as (
 )
 select doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k
 """
+
+ORACLES["op1_minhash_dedup"] = r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), s as (
+  select distinct doc_id, array_to_string(case when len(w) < 4 then w else w[i:i + 3] end, ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)
+), n as (select doc_id, count(*) as n from s group by doc_id), o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), e as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)
+), r as (
+  select doc_id, doc_id as root from d union select e.a, r.root from r join e on e.b = r.doc_id
+), c as (select doc_id, min(root) as component_id from r group by doc_id)
+select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, c.doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
