@@ -15,6 +15,7 @@ from .mixing import mixed
 from .packing import pack
 from .pii import find_pii
 from .quality import quality
+from .secret_scan import scan_secrets
 from .substring import substring_dedup
 from .topk import top_k
 from .sql import ORACLES
@@ -38,6 +39,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("added")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_html_extraction": op5_html_extraction,
     "op6_exact_topk": op6_exact_topk,
     "op7_substring_dedup": op7_substring_dedup,
