@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, materialize, small_batches
 
 WINDOW = 20
 #: Odd, so that its powers have inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-#: Words hashed at a time: the arrays for them take about 100 MB.
-WORDS_AT_ONCE = 1_000_000
+#: Words hashed at a time: words and arrays for them take about 40 MB of a Python worker.
+WORDS_AT_ONCE = 200_000
 #: Bytes of text that one bucket of hashes stands for, about.
 BUCKET_BYTES = 2 << 20
 #: Buckets of one partition: with several, partitions come out even.
@@ -178,6 +178,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     One row for each document that has any. A word goes if a window covers it whose words also start
     earlier: in a smaller id, or earlier in the same document.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     bits = max(4, int(np.ceil(np.log2(max(1, _input_bytes(texts) / BUCKET_BYTES)))))
     scanned = texts.mapInPandas(_scan(window, bits), _SCANNED)
