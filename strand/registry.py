@@ -28,8 +28,10 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import strand.queries  # noqa: F401  fills the registry
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import strand.queries  # noqa: F401
     return dict(_ORACLES)
