@@ -92,7 +92,7 @@ def excel_date(serial: Column) -> Column:
 
 def days_between(first: Column, last: Column) -> Column:
     """Whole seconds as fractional days."""
-    return F.floor(last.cast("double") - first.cast("double")) / F.lit(86400.0)
+    return F.floor(last.cast("timestamp").cast("double") - first.cast("timestamp").cast("double")) / F.lit(86400.0)
 
 
 _DOW = "(?:(?:mon|tues|wednes|thurs|fri|satur|sun)day|mon|tues?|wed|thurs?|thu|fri|sat|sun)"

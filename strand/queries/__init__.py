@@ -1,3 +1,3 @@
 """Registered queries, by subject. Importing the modules fills the registry."""
 
-from strand.queries import threads  # noqa: F401
+from strand.queries import functions, passages, threads  # noqa: F401
