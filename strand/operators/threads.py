@@ -131,7 +131,7 @@ def sparse_cosine(weights: DataFrame, threshold: float = 0.0, include_self: bool
     ``salt`` deals the postings of a frequent term over that many tasks on one side and repeats them on the other.
     """
     a = weights.select(F.col("doc").alias("src"), "term", F.col("w").alias("x"), F.pmod(F.xxhash64("doc"), F.lit(salt)).alias("salt"))
-    b = weights.select(F.col("doc").alias("dst"), "term", F.col("w").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long").alias("salt"))
+    b = weights.select(F.col("doc").alias("dst"), "term", F.col("w").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<long>")).alias("salt"))
     pairs = a.join(b, ["term", "salt"]).filter(F.col("src") <= F.col("dst") if include_self else F.col("src") < F.col("dst"))
     return pairs.groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("c")).filter(F.col("c") > threshold)
 
