@@ -84,21 +84,19 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[
         yield np.array(ids, dtype=np.int64), docs
 
 
-def _starts_by_doc(ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """One row a document: its id and the starts of windows to remove."""
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by].astype("<u4")
-    edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
-    rows = [(ids[doc[lo]], start[lo:hi].tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["doc_id", "starts"])
+def _by_block(ids: np.ndarray, start: np.ndarray, blocks: int) -> pd.DataFrame:
+    """Windows to remove, packed into one row for each block of documents (by a hash of the id)."""
+    block = (_mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    by = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.diff(block[by], prepend=-1, append=-1))
+    rows = [(int(block[by[lo]]), ids[by[lo:hi]].astype("<i8").tobytes(), start[by[lo:hi]].astype("<u4").tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return pd.DataFrame(rows, columns=["block", "ids", "places"])
 
 
-def _scan(window: int, bits: int):
+def _scan(window: int, bits: int, blocks: int):
     """Windows of a chunk of documents. Of equal windows in a chunk only the first is sent on, with its
     place; the others are repeats already. Rows go out by bucket (the hash's top bits), hashes sorted.
     """
-    empty = dict.fromkeys(("hashes", "docs", "places", "ids"), None)
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, docs in _chunks(batches):
             order = np.argsort(ids, kind="stable")
@@ -119,8 +117,8 @@ def _scan(window: int, bits: int):
             later = (ids[doc[by]] > ids[doc[leader]]) | (start[by] > start[leader])
             again = by[~new & later]
             if len(again):
-                found = _starts_by_doc(ids, doc[again], start[again])
-                yield found.assign(bucket=-1, **empty)[["bucket", "doc_id", "starts", *empty]]
+                found = _by_block(ids[doc[again]], start[again], blocks)
+                yield found.assign(bucket=-1, hashes=None, docs=None)[_COLUMNS]
             keep, kept = by[new], sorted_hashes[new]
             edges = np.searchsorted(kept, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
             rows = []
@@ -129,26 +127,19 @@ def _scan(window: int, bits: int):
                     continue
                 own, index = np.unique(doc[keep[lo:hi]], return_inverse=True)
                 gaps = np.diff(kept[lo:hi], prepend=np.uint64(0))
-                rows.append((b, None, None, _planes(gaps), _planes(index.astype("<u4")), _planes(start[keep[lo:hi]].astype("<u4")), ids[own].astype("<i8").tobytes()))
-                if len(rows) == 64:
-                    yield _raw(rows)
-                    rows = []
-            yield _raw(rows)
+                rows.append((b, 0, _planes(gaps), _planes(index.astype("<u4")), _planes(start[keep[lo:hi]].astype("<u4")), ids[own].astype("<i8").tobytes()))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return scan
 
 
-def _raw(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["bucket", "doc_id", "starts", "hashes", "docs", "places", "ids"])
-    return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-
-_SCANNED = "bucket int, doc_id long, starts binary, hashes binary, docs binary, places binary, ids binary"
+_SCANNED = "bucket int, block int, hashes binary, docs binary, places binary, ids binary"
+_COLUMNS = ["bucket", "block", "hashes", "docs", "places", "ids"]
 
 
-def _later_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket's hashes, the windows that start later than the first of the same hash."""
-    ids, doc, start, hashes = [], [], [], []
+def _later_windows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's hashes, ids and starts of windows that start later than the first of the same hash."""
+    ids, start, hashes = [], [], []
     for row in rows.itertuples(index=False):
         own = np.frombuffer(row.ids, "<i8")
         hashes.append(np.cumsum(_from_planes(row.hashes, np.uint64)))
@@ -168,8 +159,7 @@ def _later_windows(rows: pd.DataFrame) -> pd.DataFrame:
     lead[1:] = hashes[1:] != hashes[:-1]
     at = np.maximum.accumulate(np.where(lead, np.arange(len(by)), 0)) if len(by) else by
     later = (ids != ids[at]) | (start != start[at])
-    ids, doc = np.unique(ids[later], return_inverse=True)
-    return _starts_by_doc(ids, doc, start[later])
+    return ids[later], start[later]
 
 
 def removal_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,38 +171,47 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     bits = max(4, int(np.ceil(np.log2(max(1, _input_bytes(texts) / BUCKET_BYTES)))))
-    scanned = texts.mapInPandas(_scan(window, bits), _SCANNED)
     buckets = 1 << bits
-    # one shuffle by bucket; rows of bucket -1, found in a chunk already, are dealt by document
+    tasks = buckets // BUCKETS_A_TASK
+    scanned = texts.mapInPandas(_scan(window, bits, tasks), _SCANNED)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}
         for batch in batches:
             done = batch["bucket"] < 0
             if done.any():
-                yield batch.loc[done, ["doc_id", "starts"]]
+                yield batch.loc[done, ["block", "ids", "places"]]
             for b, rows in batch[~done].groupby("bucket"):
                 held.setdefault(int(b), []).append(rows)
-        for b in sorted(held):
-            yield _later_windows(pd.concat(held.pop(b)))
+        found = [_later_windows(pd.concat(held.pop(b))) for b in sorted(held)]
+        if found:
+            yield _by_block(np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found]), tasks)
 
-    key = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    later = scanned.repartition(buckets // BUCKETS_A_TASK, key).mapInPandas(settle, "doc_id long, starts binary")
+    # one shuffle by bucket; rows of bucket -1, settled in their chunk already, go by their block
+    key = F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))
+    later = scanned.repartition(tasks, key).mapInPandas(settle, "block int, ids binary, places binary")
 
-    @F.pandas_udf("array<struct<begin:long,end:long>>")
-    def merge(parts: pd.Series) -> pd.Series:
-        return pd.Series([_merged(np.concatenate([np.frombuffer(p, "<u4") for p in x]), window) for x in parts])
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(x, "<i8") for x in rows["ids"]])
+        starts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["places"]]).astype(np.int64)
+        return _merged(ids, starts, window)
 
-    found = later.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")).select("doc_id", merge("starts").alias("spans"))
+    found = later.groupBy("block").applyInPandas(merge, "doc_id long, spans array<struct<begin:long,end:long>>")
     return materialize(found, "substring-spans")
 
 
-def _merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal intervals that windows at ``starts`` cover."""
-    starts = np.unique(starts).astype(np.int64)
-    new = np.flatnonzero(np.diff(starts, prepend=starts[0] - window - 1) > window)
-    ends = starts[np.append(new[1:] - 1, len(starts) - 1)] + window
-    return [{"begin": int(a), "end": int(b)} for a, b in zip(starts[new], ends, strict=True)]
+def _merged(ids: np.ndarray, starts: np.ndarray, window: int) -> pd.DataFrame:
+    """Maximal intervals that windows at ``starts`` cover, by document."""
+    by = np.lexsort((starts, ids))
+    ids, starts = ids[by], starts[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] - starts[:-1] > window)
+    begin = np.flatnonzero(new)
+    ends = starts[np.append(begin[1:] - 1, len(starts) - 1)] + window
+    out: dict[int, list[dict[str, int]]] = {}
+    for i, a, b in zip(ids[begin].tolist(), starts[begin].tolist(), ends.tolist(), strict=True):
+        out.setdefault(i, []).append({"begin": a, "end": b})
+    return pd.DataFrame({"doc_id": list(out), "spans": list(out.values())})
 
 
 def _input_bytes(df: DataFrame) -> int:
