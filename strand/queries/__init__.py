@@ -1,3 +1,3 @@
 """Registered queries, by subject. Importing the modules fills the registry."""
 
-from strand.queries import coref, entities, functions, passages, threads  # noqa: F401
+from strand.queries import coref, entities, functions, models, passages, threads  # noqa: F401
