@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section "
@@ -203,6 +205,8 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     hold; columns named text or n_chars are replaced. Nothing is shuffled.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def extract(htmls: pd.Series) -> pd.Series:
         return pd.Series([main_text(h) for h in htmls], dtype=object)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import word_ids
 
 CAPACITY = 4096
@@ -62,17 +62,40 @@ class _Sums:
         return None
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Patterns:
     """Patterns (lengths of one sequence, how many such sequences) that use up ``histogram``.
 
     Longest first, each length takes the single, pair or triple that exactly fills its gap, as often
     as the counts allow at once. What no combination fills exactly goes to best fit, longest first,
     again in bulk. Steps follow the number of distinct lengths (at most ``capacity``), not of pieces.
+
+    Where that leaves more than one sequence above the tokens' own bound, combinations of fewer parts
+    are tried as well (they leave more small pieces to best fit) and the smallest plan counts.
     """
+    bound = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    best: Patterns | None = None
+    for parts in (3, 2, 1, 0):
+        found = _plan(histogram, capacity, parts)
+        if best is None or _sequences(found) < _sequences(best):
+            best = found
+        if _sequences(best) <= bound + 1:
+            break
+    return best or []
+
+
+def _sequences(patterns: Patterns) -> int:
+    return sum(times for _, times in patterns)
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> Patterns:
+    """One plan, with exact combinations of at most ``most`` parts."""
     count = [0] * (capacity + 1)
     for length, n in histogram.items():
         count[length] = n
-    patterns: list[tuple[tuple[int, ...], int]] = []
+    patterns: Patterns = []
     if count[capacity]:
         patterns.append(((capacity,), count[capacity]))
         count[capacity] = 0
@@ -83,7 +106,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         while total:
             gap = capacity - length
             count[length] = total - 1  # the seed itself is not for its own gap
-            fill = sums.single(gap) or sums.pair(gap) or sums.triple(gap)
+            fill = next(filter(None, (find(gap) for find in (sums.single, sums.pair, sums.triple)[:most])), None)
             count[length] = total
             if not fill:
                 break
@@ -99,7 +122,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return patterns + _best_fit(left, capacity)
 
 
-def _best_fit(left: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def _best_fit(left: list[tuple[int, int]], capacity: int) -> Patterns:
     """Best fit decreasing over (length, count), with equal open sequences kept as one class."""
     open_gaps: list[int] = []  # sorted
     classes: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -141,7 +164,7 @@ def _best_fit(left: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[in
     return [x for gap in open_gaps for x in classes[gap]]
 
 
-def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, dict[str, np.ndarray]]:
+def _slots(patterns: Patterns) -> dict[int, dict[str, np.ndarray]]:
     """For each length: from which rank on, in which sequences (first id) and offset its pieces stand."""
     used: dict[int, int] = {}
     rows: dict[int, list[tuple[int, int, int]]] = {}
@@ -202,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     packed like others, each row by itself. No rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, id_col, text_col, keep_ids), "pack-pieces")
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(by_length.values())

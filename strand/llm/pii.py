@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -242,6 +244,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     may be null or repeat, each row stands by itself. No rows give no rows; other columns are ignored.
     Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     weights = trained_weights()
 
     @F.pandas_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,redacted:string>")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Most labelled rows that training takes (smallest hashes of their ids): 30,000 x 27 floats are 7 MB.
 TRAIN_ROWS = 30_000
 THRESHOLD = 0.3
@@ -144,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     and ids are left out; of repeated labels of an id the largest counts. Without usable labels the
     score is 0.5 for all.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label"))
@@ -166,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 def scored(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a column quality_score in [0, 1]; all columns and rows stay, whatever they hold."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
