@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 WORDS_AT_ONCE = 200_000
 #: Bytes of text that one bucket of hashes stands for, about.
 BUCKET_BYTES = 2 << 20
+#: At most 65,536 buckets; beyond 128 GB of texts buckets grow with the input instead.
+MOST_BITS = 16
 #: Buckets of one partition: with several, partitions come out even.
 BUCKETS_A_TASK = 4
 
@@ -170,7 +172,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    bits = max(4, int(np.ceil(np.log2(max(1, _input_bytes(texts) / BUCKET_BYTES)))))
+    bits = min(MOST_BITS, max(4, int(np.ceil(np.log2(max(1, _input_bytes(texts) / BUCKET_BYTES))))))
     buckets = 1 << bits
     tasks = buckets // BUCKETS_A_TASK
     scanned = texts.mapInPandas(_scan(window, bits, tasks), _SCANNED)
@@ -215,8 +217,9 @@ def _merged(ids: np.ndarray, starts: np.ndarray, window: int) -> pd.DataFrame:
 
 
 def _input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of ``df``; where it has none, what the session's shuffle partitions suit."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_A_TASK * BUCKET_BYTES
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
