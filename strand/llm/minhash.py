@@ -11,17 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import attach_groups, bounded_broadcast, materialize
+from .common import attach_groups, bounded_broadcast, materialize, small_batches
 
 WIDTH = 4
 PERCENT = 80
 BINS = 128
 #: Rows of a band. With 32 bands of 4 a pair at similarity 0.8 shares none with probability 5e-8.
 BAND_ROWS = 4
-#: Neighbours before it, in a bucket's own order, that a member is compared with besides the star's centre.
-NEAR = 12
-#: Bits of 128 that sketches of a pair may differ in: 12.8 +- 3.4 are expected at similarity 0.8.
-SKETCH_BITS = 44
+#: Buckets of up to NEAR + 1 members are compared by a window of predecessors, larger ones in arrays.
+NEAR = 16
+#: Bins of the sketches that candidates are compared by, two bits each.
+SKETCH = 512
+#: Bins in which sketches of a pair may differ: 76.8 +- 8.1 are expected at similarity 0.8, fewer above it.
+SKETCH_BINS = 125
+#: The same for pairs of large buckets, where 2.5 deviations of slack keep pairs below the threshold few.
+SKETCH_BINS_LARGE = 97
 #: Rows of a bucket that one task puts in order; larger buckets are dealt by ranges of that order.
 BUCKET_ROWS = 5000
 #: Most shared bucket keys that a Bloom filter takes (10 bits each: 10 MB).
@@ -55,34 +59,41 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
-#: For each bin the bins that it looks at, in turn, while it is empty.
-_PROBE = (_mix(np.arange(BINS * _PROBES, dtype=np.uint64), 0x5DEECE66D) >> np.uint64(57)).astype(np.int64).reshape(_PROBES, BINS)
+_PROBED: dict[int, np.ndarray] = {}
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of BINS values; empty bins are densified by independent probes of other bins."""
+def _probes(bins: int) -> np.ndarray:
+    """For each bin the bins that it looks at, in turn, while it is empty."""
+    if bins not in _PROBED:
+        drawn = _mix(np.arange(bins * _PROBES, dtype=np.uint64), 0x5DEECE66D + bins) % np.uint64(bins)
+        _PROBED[bins] = drawn.astype(np.int64).reshape(_PROBES, bins)
+    return _PROBED[bins]
+
+
+def signature(hashes: np.ndarray, count: int = BINS) -> np.ndarray:
+    """One-permutation MinHash of ``count`` bins; empty bins are densified by independent probes of other bins."""
     h = np.sort(_mix(hashes, 0xA0761D6478BD642F))
-    bins = (h >> np.uint64(57)).astype(np.int64)
-    out = np.full(BINS, _EMPTY)
+    bins = (h >> np.uint64(64 - count.bit_length() + 1)).astype(np.int64)
+    out = np.full(count, _EMPTY)
     first = np.ones(len(bins), bool)
     first[1:] = bins[1:] != bins[:-1]
     out[bins[first]] = h[first]
     filled = out != _EMPTY
     dense = out.copy()
     empty = np.flatnonzero(~filled)
-    for probe in _PROBE:
+    for probe in _probes(count):
         if not len(empty):
             break
         to = probe[empty]
         ok = filled[to]
         dense[empty[ok]] = out[to[ok]]
         empty = empty[~ok]
-    if len(empty):  # hardly ever: all probes met empty bins; the first filled bin serves
+    if len(empty):  # few values for many bins: past all probes the first filled bin serves
         dense[empty] = h[0]
     return dense
 
 
-_BIN_SALT = _mix(np.arange(BINS, dtype=np.uint64), 0x2545F4914F6CDD1D)
+_BIN_SALT = _mix(np.arange(SKETCH, dtype=np.uint64), 0x2545F4914F6CDD1D)
 
 
 def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
@@ -91,7 +102,7 @@ def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
     full = [k for k, s in enumerate(sets) if len(s)]
     none = np.empty(0, np.int64)
     keys, orders = [none] * len(sets), [none] * len(sets)
-    sketch = np.zeros((len(sets), 2), np.int64)
+    sketch = np.zeros((len(sets), SKETCH // 32), np.int64)
     if full:
         sig = np.stack([signature(sets[k]) for k in full])
         grouped = sig.reshape(len(full), -1, BAND_ROWS)
@@ -100,8 +111,9 @@ def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ grouped[:, :, r])
         band = np.arange(key.shape[1])
         key = _mix(key ^ band.astype(np.uint64)[None, :]).view(np.int64)
-        low = _mix(sig ^ _BIN_SALT) & np.uint64(0xFF)
-        bits = (low >> np.uint64(7)).reshape(len(full), 2, 64)
+        low = _mix(sig ^ _BIN_SALT[:BINS]) & np.uint64(0xFF)
+        wide = _mix(np.stack([signature(sets[k], SKETCH) for k in full]) ^ _BIN_SALT)
+        bits = np.stack([wide >> np.uint64(63), (wide >> np.uint64(62)) & np.uint64(1)], axis=1).reshape(len(full), -1, 64)
         sketch[full] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
         # bytes of other bins order a band's bucket, so that like signatures stand together in it
         order = np.zeros(key.shape, np.uint64)
@@ -114,11 +126,11 @@ def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
         "doc_id": pd.array([i for i, _ in rows], dtype="Int64"),
         "n": [len(s) for s in sets],
         "mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
-        "s1": sketch[:, 0], "s2": sketch[:, 1], "keys": keys, "orders": orders,
+        "sketch": list(sketch), "keys": keys, "orders": orders,
     })
 
 
-_SIGNED = "doc_id long, n long, mark string, s1 long, s2 long, keys array<long>, orders array<long>"
+_SIGNED = "doc_id long, n long, mark string, sketch array<long>, keys array<long>, orders array<long>"
 
 
 def _sign(width: int):
@@ -128,7 +140,7 @@ def _sign(width: int):
             for i, text in zip(batch["i"], batch["t"], strict=True):
                 rows.append((None if pd.isna(i) else int(i), s := shingles(text, width)))
                 size += len(s)
-                if size > 500_000 or len(rows) >= 2000:
+                if size > 200_000 or len(rows) >= 1000:
                     yield _signed(rows)
                     rows, size = [], 0
             if rows:
@@ -137,11 +149,12 @@ def _sign(width: int):
     return sign
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """What any pair at the threshold meets: sizes in proportion and sketches that agree (8 deviations of slack)."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart <= SKETCH_BITS)
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """What any pair at the threshold meets: sizes in proportion and sketches that agree (6 deviations of slack)."""
+    half = SKETCH // 64
+    apart = [F.get(a["sketch"], F.lit(k)).bitwiseXOR(F.get(b["sketch"], F.lit(k))) for k in range(2 * half)]
+    bins = sum((F.bit_count(apart[k].bitwiseOR(apart[k + half])) for k in range(half)), F.lit(0))
+    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (bins <= SKETCH_BINS)
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
@@ -156,49 +169,73 @@ def _shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.filter(bloom.might_contain(rows, bloom.build(shared, "key", n, max(64, 10 * n)), F.col("key")))
 
 
-def candidate_edges(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of class ids, a > b, that share a band bucket: each member with its bucket's centre
-    and with its NEAR predecessors in the bucket's order.
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, m, ord, members, centre): classes in the band buckets that they share with others.
 
-    Edges are at most NEAR + 1 a member and band, whatever the bucket's size; buckets of up to
-    NEAR + 1 members are covered in full. A bucket's centre comes from a map-side minimum. Buckets
-    beyond BUCKET_ROWS members are dealt into parts, each put in order by itself.
+    The centre, a map-side minimum by a hash of the class alone, is mostly the same in all buckets of
+    a group, so a member's stars are few.
     """
-    member = F.struct(F.col("class_id").alias("id"), "n", "s1", "s2").alias("m")
+    member = F.struct(F.col("class_id").alias("id"), "n", "sketch").alias("m")
     rows = classes.select(member, F.explode(F.arrays_zip("keys", "orders")).alias("band")).select("m", "band.keys", "band.orders").toDF("m", "key", "ord")
     rows = _shared_buckets(rows)
-    centre = F.min_by(F.col("m"), F.struct(F.xxhash64("key", "m.id"), F.col("m.id")))
+    centre = F.min_by(F.col("m"), F.struct(F.xxhash64("m.id"), F.col("m.id")))
     stats = materialize(rows.groupBy("key").agg(F.count("*").alias("members"), centre.alias("centre")).filter("members > 1"), "minhash-buckets")
-    met = materialize(attach_groups(rows, stats, "key", "members", 32 * classes.count()), "minhash-members")
-    star = met.filter((F.col("m.id") != F.col("centre.id")) & _alike("m", "centre", percent)).select(F.col("m.id").alias("x"), F.col("centre.id").alias("y"))
+    return materialize(attach_groups(rows, stats, "key", "members", 32 * classes.count()), "minhash-members")
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def star_edges(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a > b, of each member with its bucket's centre: at most one a member and band."""
+    own = F.col("m.id") != F.col("centre.id")
+    return _edges(members.filter(own & _alike(F.col("m"), F.col("centre"), percent)).select(F.col("m.id").alias("x"), F.col("centre.id").alias("y")))
+
+
+def near_edges(members: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a > b, of a bucket's members that may reach the threshold by their sketches and that the
+    stars haven't joined already.
+
+    Buckets of up to NEAR + 1 members are covered by a window of predecessors. Larger ones are dealt into
+    parts of about BUCKET_ROWS members, by a hash; all sketches of a part are compared in memory, block by
+    block, and only those that pass are emitted, one row a member. So the work a member and band is
+    bounded, whatever the bucket's size. What bands repeat is one before the sets are met.
+    """
     part = F.pmod(F.xxhash64("m.id", "key"), F.ceil(F.col("members") / BUCKET_ROWS))
-    order = Window.partitionBy("key", "part").orderBy("ord", "m.id").rowsBetween(-NEAR, -1)
-    near = (
-        met.filter("members > 2").select("key", "ord", "m", part.alias("part"))
-        .withColumn("others", F.collect_list("m").over(order))
-        .select("m", F.explode("others").alias("other")).filter(_alike("m", "other", percent))
-        .select(F.col("m.id").alias("x"), F.col("other.id").alias("y"))
-    )
-    both = star.unionByName(near)
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    rows = members.filter("members > 2").select("key", "ord", "members", "m", F.col("m.id").alias("node"), part.alias("part"))
+    rows = rows.join(bounded_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = Window.partitionBy("key").orderBy("ord", "node").rowsBetween(-NEAR, -1)
+    before = F.collect_list(F.struct("m", "root")).over(order)
+    others = F.filter("before", lambda o: (o["root"] != F.col("root")) & _alike(F.col("m"), o["m"], percent))
+    small = rows.filter(F.col("members") <= NEAR + 1).withColumn("before", before).select(F.col("node").alias("x"), F.transform(others, lambda o: o["m"]["id"]).alias("ys"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        ids, roots, n = (group[c].to_numpy() for c in ("node", "root", "n"))
+        sketch = np.stack(group["sketch"].to_numpy()).view(np.uint64)
+        high, low = sketch[:, : SKETCH // 64], sketch[:, SKETCH // 64 :]
+        out = []
+        for lo in range(0, len(ids), 32):
+            hi = min(lo + 32, len(ids))
+            bins = np.bitwise_count((high[lo:hi, None] ^ high[None, :hi]) | (low[lo:hi, None] ^ low[None, :hi])).sum(axis=2, dtype=np.int64)
+            sized = 100 * np.minimum(n[lo:hi, None], n[None, :hi]) >= percent * np.maximum(n[lo:hi, None], n[None, :hi])
+            ok = (bins <= SKETCH_BINS_LARGE) & sized & (ids[lo:hi, None] > ids[None, :hi]) & (roots[lo:hi, None] != roots[None, :hi])
+            out += [(ids[lo + k], ids[:hi][row]) for k, row in enumerate(ok) if row.any()]
+        return pd.DataFrame(out, columns=["x", "ys"])
+
+    large = rows.filter(F.col("members") > NEAR + 1).select("key", "part", "node", "root", "m.n", "m.sketch").groupBy("key", "part").applyInPandas(compare, "x long, ys array<long>")
+    met = small.filter(F.size("ys") > 0).unionByName(large).groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    return _edges(met.select("x", F.explode("ys").alias("y")))
 
 
 def confirmed_edges(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``edges`` whose full shingle sets reach the threshold. ``sets``: class_id, hashes (sorted, binary)."""
-
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.empty(len(left), bool)
-        for k, (x, y) in enumerate(zip(left, right, strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out[k] = 100 * shared >= percent * (len(both) - shared)
-        return pd.Series(out)
-
+    """Those of ``edges`` whose full shingle sets reach the threshold. ``sets``: class_id, hashes (distinct longs)."""
     left = sets.select(F.col("class_id").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("class_id").alias("b"), F.col("hashes").alias("right"))
-    return edges.join(left, "a").join(right, "b").filter(linked("left", "right")).select("a", "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - shared
+    return edges.join(left, "a").join(right, "b").filter(shared * 100 >= union * percent).select("a", "b")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -238,22 +275,22 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     rows are kept. Rows that repeat an id count as one document more. No rows give no rows. Other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     signed = materialize(texts.mapInPandas(_sign(width), _SIGNED), "minhash-signed")
     total = signed.count()
     some = signed.filter("n > 0")
     groups = materialize(
-        some.groupBy("mark").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"), F.first("orders").alias("orders")),
+        some.groupBy("mark").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("orders").alias("orders")),
         "minhash-classes",
     )
     # a class is named by its smallest id; classes of null ids alone get negative names from their mark
     named = groups.withColumn("class_id", F.coalesce("least_id", -1 - F.abs(F.xxhash64("mark")) % (1 << 62)))
-    edges = materialize(candidate_edges(named, percent), "minhash-edges")
-    ends = edges.select(F.col("a").alias("class_id")).unionByName(edges.select(F.col("b").alias("class_id"))).distinct()
-    ends = materialize(named.select("class_id", "mark").join(ends, "class_id"), "minhash-ends")
-    sets = _sets(texts, ends, width)
-    links = materialize(confirmed_edges(edges, sets, percent), "minhash-links")
-    roots = components(links)
+    members = bucket_members(named)
+    sets = _sets(texts, named.select("class_id", "mark").join(members.select(F.col("m.id").alias("class_id")).distinct(), "class_id"), width)
+    stars = materialize(confirmed_edges(star_edges(members, percent), sets, percent), "minhash-stars")
+    nears = materialize(confirmed_edges(near_edges(members, components(stars), percent), sets, percent), "minhash-nears")
+    roots = components(stars.unionByName(nears))
     resolved = (
         named.join(bounded_broadcast(roots.select(F.col("node").alias("class_id"), "root")), "class_id", "left")
         .select("mark", "copies", F.coalesce("root", "class_id").alias("root"))
@@ -266,17 +303,18 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
 
 
 def _sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """class_id and full shingle set (sorted hashes, binary) of the classes in ``ends`` (class_id, mark).
+    """class_id and full shingle set (array of hashes) of the classes in ``ends`` (class_id, mark).
 
     One document of each class is read for its text, by the id that names the class; documents
     without an id are read for the classes that have no other. The set's own mark tells its class.
     """
 
-    @F.pandas_udf("struct<mark:string,hashes:binary>")
+    @F.pandas_udf("struct<mark:string,hashes:array<long>>")
     def full(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, width).tobytes() for t in texts]
-        return pd.DataFrame({"mark": [xxhash.xxh3_128_hexdigest(s) for s in sets], "hashes": sets})
+        sets = [shingles(t, width) for t in texts]
+        return pd.DataFrame({"mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
 
+    ends = materialize(ends, "minhash-ends")
     n = ends.count()
     wanted = texts.join(bounded_broadcast(ends.select("class_id"), n), F.col("i") == F.col("class_id"), "left_semi").select(full("t").alias("set"))
     if ends.filter("class_id < 0").limit(1).count():
