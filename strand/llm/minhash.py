@@ -20,8 +20,10 @@ BINS = 128
 BAND_ROWS = 4
 #: Buckets of up to NEAR + 1 members are compared by a window of predecessors, larger ones in arrays.
 NEAR = 16
-#: Bins of the sketches that candidates are compared by, two bits each.
+#: Bins of the sketches that candidates of large sets are compared by, two bits each.
 SKETCH = 512
+#: Sets of up to so many shingles have parities of as many bits instead, which never rule out a link.
+PARITY_SHINGLES = 1500
 #: Bins in which sketches of a pair may differ: 76.8 +- 8.1 are expected at similarity 0.8, fewer above it.
 SKETCH_BINS = 125
 #: The same for pairs of large buckets, where 2.5 deviations of slack keep pairs below the threshold few.
@@ -93,6 +95,13 @@ def signature(hashes: np.ndarray, count: int = BINS) -> np.ndarray:
     return dense
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """2 * SKETCH bits, each flipped by every shingle that falls on it. Two sets differ in at most as many
+    bits as they have shingles not shared, so the count of differing bits is a lower bound of those."""
+    at = (_mix(hashes, 0x8EBC6AF09C88C6E3) % np.uint64(2 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=2 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 _BIN_SALT = _mix(np.arange(SKETCH, dtype=np.uint64), 0x2545F4914F6CDD1D)
 
 
@@ -112,9 +121,13 @@ def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
         band = np.arange(key.shape[1])
         key = _mix(key ^ band.astype(np.uint64)[None, :]).view(np.int64)
         low = _mix(sig ^ _BIN_SALT[:BINS]) & np.uint64(0xFF)
-        wide = _mix(np.stack([signature(sets[k], SKETCH) for k in full]) ^ _BIN_SALT)
-        bits = np.stack([wide >> np.uint64(63), (wide >> np.uint64(62)) & np.uint64(1)], axis=1).reshape(len(full), -1, 64)
-        sketch[full] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+        for k in full:
+            if len(sets[k]) <= PARITY_SHINGLES:
+                sketch[k] = parities(sets[k])
+        if wides := [k for k in full if len(sets[k]) > PARITY_SHINGLES]:
+            wide = _mix(np.stack([signature(sets[k], SKETCH) for k in wides]) ^ _BIN_SALT)
+            bits = np.stack([wide >> np.uint64(63), (wide >> np.uint64(62)) & np.uint64(1)], axis=1).reshape(len(wides), -1, 64)
+            sketch[wides] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
         # bytes of other bins order a band's bucket, so that like signatures stand together in it
         order = np.zeros(key.shape, np.uint64)
         for r in range(7):
@@ -150,11 +163,17 @@ def _sign(width: int):
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
-    """What any pair at the threshold meets: sizes in proportion and sketches that agree (6 deviations of slack)."""
+    """What any pair at the threshold meets: sizes in proportion and sketches that agree.
+
+    By parities no link is ruled out, by bins (two large sets) there are 6 deviations of slack; a pair of
+    one kind each is told by its sizes alone.
+    """
     half = SKETCH // 64
     apart = [F.get(a["sketch"], F.lit(k)).bitwiseXOR(F.get(b["sketch"], F.lit(k))) for k in range(2 * half)]
     bins = sum((F.bit_count(apart[k].bitwiseOR(apart[k + half])) for k in range(half)), F.lit(0))
-    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (bins <= SKETCH_BINS)
+    odd = sum((F.bit_count(x) for x in apart), F.lit(0))
+    agree = F.when(F.greatest(a["n"], b["n"]) <= PARITY_SHINGLES, odd * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)).when(F.least(a["n"], b["n"]) > PARITY_SHINGLES, bins <= SKETCH_BINS)
+    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & F.coalesce(agree, F.lit(True))
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
@@ -214,13 +233,16 @@ def near_edges(members: DataFrame, roots: DataFrame, percent: int = PERCENT) ->
         group = group.sort_values("node")
         ids, roots, n = (group[c].to_numpy() for c in ("node", "root", "n"))
         sketch = np.stack(group["sketch"].to_numpy()).view(np.uint64)
-        high, low = sketch[:, : SKETCH // 64], sketch[:, SKETCH // 64 :]
-        out = []
+        wide, half, out = n > PARITY_SHINGLES, SKETCH // 64, []
         for lo in range(0, len(ids), 32):
             hi = min(lo + 32, len(ids))
-            bins = np.bitwise_count((high[lo:hi, None] ^ high[None, :hi]) | (low[lo:hi, None] ^ low[None, :hi])).sum(axis=2, dtype=np.int64)
+            apart = sketch[lo:hi, None] ^ sketch[None, :hi]
+            alike = np.bitwise_count(apart).sum(axis=2, dtype=np.int64) * (100 + percent) <= (n[lo:hi, None] + n[None, :hi]) * (100 - percent)
+            if wide[:hi].any():
+                bins = np.bitwise_count(apart[:, :, :half] | apart[:, :, half:]).sum(axis=2, dtype=np.int64)
+                alike = np.where(wide[lo:hi, None] & wide[None, :hi], bins <= SKETCH_BINS_LARGE, alike | (wide[lo:hi, None] != wide[None, :hi]))
             sized = 100 * np.minimum(n[lo:hi, None], n[None, :hi]) >= percent * np.maximum(n[lo:hi, None], n[None, :hi])
-            ok = (bins <= SKETCH_BINS_LARGE) & sized & (ids[lo:hi, None] > ids[None, :hi]) & (roots[lo:hi, None] != roots[None, :hi])
+            ok = alike & sized & (ids[lo:hi, None] > ids[None, :hi]) & (roots[lo:hi, None] != roots[None, :hi])
             out += [(ids[lo + k], ids[:hi][row]) for k, row in enumerate(ok) if row.any()]
         return pd.DataFrame(out, columns=["x", "ys"])
 

@@ -96,6 +96,22 @@ def test_near_dedup_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (-1, 3, False), (3, 3, True), (3, 3, True)]
 
 
+def test_near_dedup_short_texts(spark):
+    """Pairs of 9 to 30 shingles just above the threshold, alone and in one bucket of many."""
+    rng, texts = random.Random(11), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for n in (9, 10, 15, 20, 30):
+        for _ in range(40):
+            shared = [word() for _ in range(n + 2)]
+            texts += [" ".join([*shared, *(word() for _ in range(n // 8))]), " ".join([*(word() for _ in range(n // 8)), *shared])]
+    base = [word() for _ in range(12)]
+    texts += [" ".join([*base, word()]) for _ in range(40)] + [" ".join([word(), *base]) for _ in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in enumerate(texts)}
+    want = components(sets)
+    assert len(set(want.values())) < len(texts) // 2 + 10
+    assert {r.doc_id: r.component_id for r in minhash.near_dedup(frame(spark, texts)).collect()} == want
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (8, 100, 1000):
