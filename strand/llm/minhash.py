@@ -26,8 +26,6 @@ SKETCH = 512
 PARITY_SHINGLES = 1500
 #: Bins in which sketches of a pair may differ: 76.8 +- 8.1 are expected at similarity 0.8, fewer above it.
 SKETCH_BINS = 125
-#: The same for pairs of large buckets, where 2.5 deviations of slack keep pairs below the threshold few.
-SKETCH_BINS_LARGE = 97
 #: Rows of a bucket that one task puts in order; larger buckets are dealt by ranges of that order.
 BUCKET_ROWS = 5000
 #: Most shared bucket keys that a Bloom filter takes (10 bits each: 10 MB).
@@ -240,7 +238,7 @@ def near_edges(members: DataFrame, roots: DataFrame, percent: int = PERCENT) ->
             alike = np.bitwise_count(apart).sum(axis=2, dtype=np.int64) * (100 + percent) <= (n[lo:hi, None] + n[None, :hi]) * (100 - percent)
             if wide[:hi].any():
                 bins = np.bitwise_count(apart[:, :, :half] | apart[:, :, half:]).sum(axis=2, dtype=np.int64)
-                alike = np.where(wide[lo:hi, None] & wide[None, :hi], bins <= SKETCH_BINS_LARGE, alike | (wide[lo:hi, None] != wide[None, :hi]))
+                alike = np.where(wide[lo:hi, None] & wide[None, :hi], bins <= SKETCH_BINS, alike | (wide[lo:hi, None] != wide[None, :hi]))
             sized = 100 * np.minimum(n[lo:hi, None], n[None, :hi]) >= percent * np.maximum(n[lo:hi, None], n[None, :hi])
             ok = alike & sized & (ids[lo:hi, None] > ids[None, :hi]) & (roots[lo:hi, None] != roots[None, :hi])
             out += [(ids[lo + k], ids[:hi][row]) for k, row in enumerate(ok) if row.any()]

@@ -112,6 +112,23 @@ def test_near_dedup_short_texts(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_dedup(frame(spark, texts)).collect()} == want
 
 
+def bucket(spark, sketches, n):
+    """Members of one bucket, ids from 0 up, as bucket_members has them."""
+    rows = [(7, k, len(sketches), (k, n, s), (0, n, sketches[0])) for k, s in enumerate(sketches)]
+    m = "struct<id:long,n:long,sketch:array<long>>"
+    return spark.createDataFrame(rows, f"key long, ord long, members long, m {m}, centre {m}")
+
+
+@pytest.mark.parametrize("members", [minhash.NEAR + 1, minhash.NEAR + 2])
+def test_near_edges_limit_is_the_same_in_large_buckets(spark, members):
+    rng = np.random.default_rng(2)
+    sketches = rng.integers(-(2**63), 2**63, (members, 16), dtype=np.int64)
+    sketches[2] = sketches[1]
+    sketches[2, :2] ^= np.array([-1, (1 << 46) - 1])  # 64 + 46 bins of 512, within the limit of 125
+    got = minhash.near_edges(bucket(spark, sketches.tolist(), 3000), spark.createDataFrame([], "node long, root long")).collect()
+    assert {(r.a, r.b) for r in got} == {(2, 1)}
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (8, 100, 1000):
