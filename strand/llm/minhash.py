@@ -26,7 +26,7 @@ SKETCH = 512
 PARITY_SHINGLES = 1500
 #: Bins in which sketches of a pair may differ: 76.8 +- 8.1 are expected at similarity 0.8, fewer above it.
 SKETCH_BINS = 125
-#: Rows of a bucket that one task puts in order; larger buckets are dealt by ranges of that order.
+#: Rows of a bucket that one task compares; larger buckets are dealt into parts of about so many.
 BUCKET_ROWS = 5000
 #: Most shared bucket keys that a Bloom filter takes (10 bits each: 10 MB).
 FILTER_KEYS = 8_000_000
@@ -210,17 +210,33 @@ def star_edges(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _edges(members.filter(own & _alike(F.col("m"), F.col("centre"), percent)).select(F.col("m.id").alias("x"), F.col("centre.id").alias("y")))
 
 
+def _part_pairs(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (key, node, root, ...) once for each two parts (lo, hi) of their bucket that are to meet, with
+    their own part. Parts of the bucket's most common root come last and don't meet one another."""
+    roots = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    sizes = roots.groupBy("key").agg(F.max_by("root", "c").alias("home"), F.max("c").alias("most"), F.sum("c").alias("size"))
+    parts = lambda n: F.ceil(n / BUCKET_ROWS).cast("long")
+    sizes = materialize(sizes.filter("size > most").select("key", "home", "size", parts(F.col("size") - F.col("most")).alias("outs"), parts(F.col("most")).alias("homes")), "minhash-parts")
+    dealt = attach_groups(rows, sizes, "key", "size", total)
+    at = F.xxhash64("node", "key")
+    part = F.when(F.col("root") == F.col("home"), F.col("outs") + F.pmod(at, F.col("homes"))).otherwise(F.pmod(at, F.col("outs")))
+    dealt = dealt.withColumn("part", part)
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("part") < F.col("outs"), F.col("outs") + F.col("homes")).otherwise(F.col("outs")) - 1)
+    dealt = dealt.withColumn("other", F.explode(meets))
+    return dealt.select("key", "node", "root", "n", "sketch", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+
 def near_edges(members: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a > b, of a bucket's members that may reach the threshold by their sketches and that the
     stars haven't joined already.
 
-    Buckets of up to NEAR + 1 members are covered by a window of predecessors. Larger ones are dealt into
-    parts of about BUCKET_ROWS members, by a hash; all sketches of a part are compared in memory, block by
-    block, and only those that pass are emitted, one row a member. So the work a member and band is
-    bounded, whatever the bucket's size. What bands repeat is one before the sets are met.
+    Buckets of up to NEAR + 1 members are covered by a window of predecessors. Of larger ones all sketches
+    are compared in memory, block by block, and only those that pass are emitted, one row a member and group.
+    Beyond BUCKET_ROWS members a bucket is dealt into parts by a hash, those of its most common root apart from
+    the others, and every two parts meet but those of the common root, whose members are joined already. What
+    bands repeat is one before the sets are met.
     """
-    part = F.pmod(F.xxhash64("m.id", "key"), F.ceil(F.col("members") / BUCKET_ROWS))
-    rows = members.filter("members > 2").select("key", "ord", "members", "m", F.col("m.id").alias("node"), part.alias("part"))
+    rows = members.filter("members > 2").select("key", "ord", "members", "m", F.col("m.id").alias("node"))
     rows = rows.join(bounded_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = Window.partitionBy("key").orderBy("ord", "node").rowsBetween(-NEAR, -1)
     before = F.collect_list(F.struct("m", "root")).over(order)
@@ -229,22 +245,29 @@ def near_edges(members: DataFrame, roots: DataFrame, percent: int = PERCENT) ->
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        ids, roots, n = (group[c].to_numpy() for c in ("node", "root", "n"))
+        ids, roots, n, part = (group[c].to_numpy() for c in ("node", "root", "n", "part"))
         sketch = np.stack(group["sketch"].to_numpy()).view(np.uint64)
         wide, half, out = n > PARITY_SHINGLES, SKETCH // 64, []
-        for lo in range(0, len(ids), 32):
-            hi = min(lo + 32, len(ids))
-            apart = sketch[lo:hi, None] ^ sketch[None, :hi]
-            alike = np.bitwise_count(apart).sum(axis=2, dtype=np.int64) * (100 + percent) <= (n[lo:hi, None] + n[None, :hi]) * (100 - percent)
-            if wide[:hi].any():
+        lo, hi = group["lo"].iat[0], group["hi"].iat[0]
+        left, right = (np.flatnonzero(part == lo), np.flatnonzero(part == hi)) if lo != hi else (np.arange(len(ids)), None)
+        for at in range(0, len(left), 32):
+            x = left[at : at + 32]
+            y = left[: at + 32] if right is None else right
+            apart = sketch[x, None] ^ sketch[None, y]
+            alike = np.bitwise_count(apart).sum(axis=2, dtype=np.int64) * (100 + percent) <= (n[x, None] + n[None, y]) * (100 - percent)
+            if wide[x].any() or wide[y].any():
                 bins = np.bitwise_count(apart[:, :, :half] | apart[:, :, half:]).sum(axis=2, dtype=np.int64)
-                alike = np.where(wide[lo:hi, None] & wide[None, :hi], bins <= SKETCH_BINS, alike | (wide[lo:hi, None] != wide[None, :hi]))
-            sized = 100 * np.minimum(n[lo:hi, None], n[None, :hi]) >= percent * np.maximum(n[lo:hi, None], n[None, :hi])
-            ok = alike & sized & (ids[lo:hi, None] > ids[None, :hi]) & (roots[lo:hi, None] != roots[None, :hi])
-            out += [(ids[lo + k], ids[:hi][row]) for k, row in enumerate(ok) if row.any()]
+                alike = np.where(wide[x, None] & wide[None, y], bins <= SKETCH_BINS, alike | (wide[x, None] != wide[None, y]))
+            sized = 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
+            ok = alike & sized & (roots[x, None] != roots[None, y])
+            if right is None:
+                ok &= ids[x, None] > ids[None, y]
+            out += [(ids[x[k]], ids[y][row]) for k, row in enumerate(ok) if row.any()]
         return pd.DataFrame(out, columns=["x", "ys"])
 
-    large = rows.filter(F.col("members") > NEAR + 1).select("key", "part", "node", "root", "m.n", "m.sketch").groupBy("key", "part").applyInPandas(compare, "x long, ys array<long>")
+    large = rows.filter((F.col("members") > NEAR + 1) & (F.col("members") <= BUCKET_ROWS)).select("key", "node", "root", "m.n", "m.sketch", *(F.lit(0).cast("long").alias(c) for c in ("part", "lo", "hi")))
+    huge = _part_pairs(rows.filter((F.col("members") > NEAR + 1) & (F.col("members") > BUCKET_ROWS)).select("key", "node", "root", "m.n", "m.sketch"), members.count())
+    large = large.unionByName(huge).groupBy("key", "lo", "hi").applyInPandas(compare, "x long, ys array<long>")
     met = small.filter(F.size("ys") > 0).unionByName(large).groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
     return _edges(met.select("x", F.explode("ys").alias("y")))
 

@@ -129,6 +129,15 @@ def test_near_edges_limit_is_the_same_in_large_buckets(spark, members):
     assert {(r.a, r.b) for r in got} == {(2, 1)}
 
 
+def test_near_edges_meets_all_parts_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 8)
+    rows = bucket(spark, [[0] * 16] * 40, 10)
+    for joined in ([], range(15, 40), range(40)):
+        roots = spark.createDataFrame([(k, min(joined)) for k in joined], "node long, root long")
+        got = [(r.a, r.b) for r in minhash.near_edges(rows, roots).collect()]
+        assert sorted(got) == [(a, b) for a in range(40) for b in range(a) if not (a in joined and b in joined)]
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (8, 100, 1000):
