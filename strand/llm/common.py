@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strand.plans.cut import materialize, shared_dir  # noqa: F401  (the subpackage's modules take them from here)
+
 #: Words are maximal runs of anything but these characters (same set as ``bytes.split()``).
 SPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
@@ -16,29 +17,14 @@ NON_SPACE = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is set only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strand-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strand/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most ``rows`` rows in an Arrow batch of this session from now on: texts of a batch are held at
-    once by the JVM, Arrow and Python, on every core of an executor."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """At most ``rows`` rows and ``megabytes`` MB in an Arrow batch of this session from now on: texts of a
+    batch are held at once by the JVM, Arrow and Python, on every core of an executor."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match("[0-9]+$", spark.conf.get(key))
+        if not now or not 0 < int(now.group()) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,8 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strand.operators.graph import components
+
 from . import bloom
 from .common import attach_groups, bounded_broadcast, materialize, small_batches
+from .exact_dedup import without
 
 WIDTH = 4
 PERCENT = 80
@@ -103,9 +106,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 _BIN_SALT = _mix(np.arange(SKETCH, dtype=np.uint64), 0x2545F4914F6CDD1D)
 
 
-def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
-    """Signature columns of (id, shingle hashes), for many documents at once."""
-    sets = [s for _, s in rows]
+def _signed(rows: list[tuple[int | None, int, np.ndarray]]) -> pd.DataFrame:
+    """Signature columns of (id, hash of the text, shingle hashes), for many documents at once."""
+    sets = [s for *_, s in rows]
     full = [k for k, s in enumerate(sets) if len(s)]
     none = np.empty(0, np.int64)
     keys, orders = [none] * len(sets), [none] * len(sets)
@@ -134,22 +137,23 @@ def _signed(rows: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:
         for j, k in enumerate(full):
             keys[k], orders[k] = key[j], order[j]
     return pd.DataFrame({
-        "doc_id": pd.array([i for i, _ in rows], dtype="Int64"),
+        "doc_id": pd.array([i for i, *_ in rows], dtype="Int64"),
+        "text_hash": [h for _, h, _ in rows],
         "n": [len(s) for s in sets],
         "mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
         "sketch": list(sketch), "keys": keys, "orders": orders,
     })
 
 
-_SIGNED = "doc_id long, n long, mark string, sketch array<long>, keys array<long>, orders array<long>"
+_SIGNED = "doc_id long, text_hash long, n long, mark string, sketch array<long>, keys array<long>, orders array<long>"
 
 
 def _sign(width: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, size = [], 0
-            for i, text in zip(batch["i"], batch["t"], strict=True):
-                rows.append((None if pd.isna(i) else int(i), s := shingles(text, width)))
+            for i, text, h in zip(batch["i"], batch["t"], batch["h"], strict=True):
+                rows.append((None if pd.isna(i) else int(i), h, s := shingles(text, width)))
                 size += len(s)
                 if size > 200_000 or len(rows) >= 1000:
                     yield _signed(rows)
@@ -281,28 +285,39 @@ def confirmed_edges(edges: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return edges.join(left, "a").join(right, "b").filter(shared * 100 >= union * percent).select("a", "b")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges``, root the smallest node reachable.
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, text_hash, n_shingles, component (a number of its own for each component), component_id
+    (its smallest id) and many, whether the component holds more rows than this one."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
+    signed = materialize(texts.mapInPandas(_sign(width), _SIGNED), "minhash-signed")
+    total = signed.count()
+    some = signed.filter("n > 0")
+    groups = materialize(
+        some.groupBy("mark").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("orders").alias("orders")),
+        "minhash-classes",
+    )
+    # a class is named by its smallest id; where that is null or leads another class too, by its mark
+    twice = materialize(groups.groupBy("least_id").agg(F.count("*").alias("c")).filter("c > 1 and least_id is not null").select("least_id", F.lit(True).alias("twice")), "minhash-twice")
+    other = -1 - F.shiftrightunsigned(F.xxhash64("mark"), 1)
+    named = groups.join(bounded_broadcast(twice), "least_id", "left").withColumn("class_id", F.when(F.col("twice") | F.col("least_id").isNull(), other).otherwise(F.col("least_id"))).drop("twice")
+    members = bucket_members(named)
+    sets = _sets(texts, named.select("class_id", "least_id", "mark").join(members.select(F.col("m.id").alias("class_id")).distinct(), "class_id"), width)
+    stars = materialize(confirmed_edges(star_edges(members, percent), sets, percent), "minhash-stars")
+    nears = materialize(confirmed_edges(near_edges(members, _roots(stars), percent), sets, percent), "minhash-nears")
+    roots = _roots(stars.unionByName(nears)).select(F.col("node").alias("class_id"), "root")
+    joined = named.select("class_id", "least_id", "mark", "copies").join(bounded_broadcast(roots), "class_id", "left")
+    alone = joined.filter("root is null").select("mark", "copies", F.col("class_id").alias("component"), F.col("least_id").alias("component_id"), (F.col("copies") > 1).alias("many"))
+    met = joined.filter("root is not null")
+    led = met.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    resolved = alone.unionByName(met.join(bounded_broadcast(led), "root").select("mark", "copies", F.col("root").alias("component"), "component_id", F.lit(True).alias("many")))
+    found = attach_groups(some.select("doc_id", "text_hash", "n", "mark"), materialize(resolved, "minhash-resolved"), "mark", "copies", total)
+    empty = signed.filter("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.lit(False).alias("many"))
+    return found.select(empty.columns).unionByName(empty).withColumnRenamed("n", "n_shingles")
 
-    Each round a node takes the smallest root among its own and its neighbours', then its root's
-    root; rounds are written tables, so lost executors cost one round. Minima are taken map-side.
-    """
-    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "components-edges")
-    roots = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "components-roots")
-    for _ in range(limit):
-        near = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        # a root hears of smaller roots that its nodes have seen
-        heard = roots.join(near, "node").groupBy(F.col("root").alias("node")).agg(F.min("seen").alias("heard"))
-        step = roots.join(near, "node").join(heard, "node", "left").select("node", "root", F.least("root", "seen", F.coalesce("heard", "root")).alias("new"))
-        jumped = step.join(step.select(F.col("node").alias("new"), F.col("new").alias("far")), "new", "left").select(
-            "node", "root", F.least("new", F.coalesce("far", "new")).alias("new")
-        )
-        jumped = materialize(jumped, "components-round")
-        changed = jumped.filter("new <> root").limit(1).count()
-        roots = jumped.select("node", F.col("new").alias("root"))
-        if not changed:
-            return roots
-    raise RuntimeError(f"components did not settle in {limit} rounds")
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,41 +330,17 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
 
     Null text is as empty text: no shingles, linked with nothing. Null ids take part with what they
     are in but never lead a component unless all ids in it are null; then component_id is null and the
-    rows are kept. Rows that repeat an id count as one document more. No rows give no rows. Other
+    rows are kept. Rows that repeat an id count each by its own text. No rows give no rows. Other
     columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    signed = materialize(texts.mapInPandas(_sign(width), _SIGNED), "minhash-signed")
-    total = signed.count()
-    some = signed.filter("n > 0")
-    groups = materialize(
-        some.groupBy("mark").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("orders").alias("orders")),
-        "minhash-classes",
-    )
-    # a class is named by its smallest id; classes of null ids alone get negative names from their mark
-    named = groups.withColumn("class_id", F.coalesce("least_id", -1 - F.abs(F.xxhash64("mark")) % (1 << 62)))
-    members = bucket_members(named)
-    sets = _sets(texts, named.select("class_id", "mark").join(members.select(F.col("m.id").alias("class_id")).distinct(), "class_id"), width)
-    stars = materialize(confirmed_edges(star_edges(members, percent), sets, percent), "minhash-stars")
-    nears = materialize(confirmed_edges(near_edges(members, components(stars), percent), sets, percent), "minhash-nears")
-    roots = components(stars.unionByName(nears))
-    resolved = (
-        named.join(bounded_broadcast(roots.select(F.col("node").alias("class_id"), "root")), "class_id", "left")
-        .select("mark", "copies", F.coalesce("root", "class_id").alias("root"))
-    )
-    resolved = materialize(resolved, "minhash-resolved")
-    met = attach_groups(some.select("doc_id", "n", "mark"), resolved, "mark", "copies", total)
-    led = met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root") >= 0, F.col("root")).alias("component_id"))
-    alone = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return led.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _linked(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """class_id and full shingle set (array of hashes) of the classes in ``ends`` (class_id, mark).
+    """class_id and full shingle set (array of hashes) of the classes in ``ends`` (class_id, least_id, mark).
 
-    One document of each class is read for its text, by the id that names the class; documents
-    without an id are read for the classes that have no other. The set's own mark tells its class.
+    Documents are read for their texts by the smallest ids of the classes, those without an id for the
+    classes that have no other. The set's own mark tells its class.
     """
 
     @F.pandas_udf("struct<mark:string,hashes:array<long>>")
@@ -359,15 +350,25 @@ def _sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
 
     ends = materialize(ends, "minhash-ends")
     n = ends.count()
-    wanted = texts.join(bounded_broadcast(ends.select("class_id"), n), F.col("i") == F.col("class_id"), "left_semi").select(full("t").alias("set"))
-    if ends.filter("class_id < 0").limit(1).count():
+    wanted = texts.join(bounded_broadcast(ends.select("least_id"), n), F.col("i") == F.col("least_id"), "left_semi").select(full("t").alias("set"))
+    if ends.filter("least_id is null").limit(1).count():
         wanted = wanted.unionByName(texts.filter("i is null").select(full("t").alias("set")))
     found = materialize(wanted.select("set.*").join(bounded_broadcast(ends, n), "mark").select("class_id", "hashes"), "minhash-sets")
     return found if found.count() == n else found.dropDuplicates(["class_id"])
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all its columns, with one document of each component: the one of the smallest id."""
-    id_col = options.get("id_col", "doc_id")
-    gone = materialize(near_dedup(docs, **options).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)), "minhash-drop")
-    return docs.join(bounded_broadcast(gone), id_col, "left_anti").select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all its columns, with one row of each component: a row of the smallest id.
+
+    A row is told by its id and its text together, so where rows repeat an id each text is judged by
+    itself. Where several rows of a component have its smallest id, or none has an id, one of them stays,
+    which one isn't defined. Documents without words stay, all of them. Nulls, empty tables and other columns
+    as in :func:`near_dedup`; columns of any name pass through.
+    """
+    found = materialize(_linked(docs, width, percent, id_col, text_col).filter("many").select("doc_id", "text_hash", "component", "component_id"), "minhash-many")
+    leads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("text_hash").alias("lead"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    later = found.join(bounded_broadcast(leads), "component").withColumn("kept", own & (F.col("text_hash") == F.col("lead")))
+    gone = later.groupBy("doc_id", "text_hash", "kept").agg(F.count("*").alias("rows")).filter("not kept or rows > 1")
+    gone = materialize(gone.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t"), "kept"), "minhash-drop")
+    return without(docs, gone, F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -166,9 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     return Trees().fit(x, sample["y"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column quality_score in [0, 1]; all columns and rows stay, whatever they hold."""
-    spark = docs.sparkSession
+def _score(spark: SparkSession, model: Trees):
+    """The score of a text column as a column function; the trees go out once."""
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
@@ -178,18 +177,30 @@ def scored(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
             return pd.Series([], dtype=float)
         return pd.Series(sent.value.score(np.stack([statistics(t) for t in texts])))
 
-    return docs.withColumn("quality_score", score(F.col(text_col)))
+    return score
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def scored(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name`` in [0, 1] (one of that name is replaced); all other columns and all rows stay.
+    Null and empty texts are scored like others, no rows give no rows."""
+    return docs.withColumn(name, _score(docs.sparkSession, model)(F.col(text_col)))
+
+
+def drop_low_quality(docs: DataFrame, model: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score ``threshold`` or more, with all their columns whatever their names. Each row is
+    judged by its own text, so null and repeated ids make no difference."""
+    return docs.filter(_score(docs.sparkSession, model)(F.col(text_col)) >= threshold)
+
+
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     Scores come from the whole text alone, never from labels, language, source or id. Empty and null
-    texts are scored like others (all statistics 0). No rows give no rows.
+    texts are scored like others (all statistics 0). Rows that repeat an id are scored each by its own text; a
+    null id is held out. No rows give no rows, other columns are ignored.
     """
-    model = train(docs, labels, **options)
-    out = scored(docs.select("doc_id", "text"), model)
-    return out.select(
-        "doc_id", held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= threshold).cast("int").alias("predicted"),
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return scored(rows, model, name="score").select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
