@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ NON_SPACE = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
     """At most ``rows`` rows and ``megabytes`` MB in an Arrow batch of this session from now on: texts of a
     batch are held at once by the JVM, Arrow and Python, on every core of an executor."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
@@ -27,6 +31,25 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) ->
             spark.conf.set(key, str(most))
 
 
+def hand_back() -> None:
+    """Give freed memory of a Python worker back to the system. Workers outlive their tasks, several wait for the next
+    one on each executor, and what one of them has once needed would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy[T](batches: Iterable[T]) -> Iterator[T]:
+    """``batches`` of one task, after which its worker's memory is handed back."""
+    try:
+        yield from batches
+    finally:
+        hand_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

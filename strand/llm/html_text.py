@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -208,7 +209,8 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
-    def extract(htmls: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h) for h in htmls], dtype=object)
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in tidy(batches):
+            yield pd.Series([main_text(h) for h in htmls], dtype=object)
 
     return pages.withColumn("text", extract(F.col(html_col))).withColumn("n_chars", F.length("text").cast("long"))

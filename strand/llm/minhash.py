@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strand.operators.graph import components
 
 from . import bloom
-from .common import attach_groups, bounded_broadcast, materialize, small_batches
+from .common import attach_groups, bounded_broadcast, materialize, small_batches, tidy
 from .exact_dedup import without
 
 WIDTH = 4
@@ -150,7 +150,7 @@ _SIGNED = "doc_id long, text_hash long, n long, mark string, sketch array<long>,
 
 def _sign(width: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in tidy(batches):
             rows, size = [], 0
             for i, text, h in zip(batch["i"], batch["t"], batch["h"], strict=True):
                 rows.append((None if pd.isna(i) else int(i), h, s := shingles(text, width)))
@@ -344,9 +344,10 @@ def _sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
     """
 
     @F.pandas_udf("struct<mark:string,hashes:array<long>>")
-    def full(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, width) for t in texts]
-        return pd.DataFrame({"mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+    def full(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in tidy(batches):
+            sets = [shingles(t, width) for t in texts]
+            yield pd.DataFrame({"mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
 
     ends = materialize(ends, "minhash-ends")
     n = ends.count()

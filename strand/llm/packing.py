@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidy
 from .tokens import word_ids
 
 CAPACITY = 4096
@@ -189,7 +189,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = word_ids(tokenizer)
-        for batch in batches:
+        for batch in tidy(batches):
             rows = []
             for doc_id, text in zip(batch["i"], batch["t"], strict=True):
                 ids = memoryview(tok.ids(text) + end)

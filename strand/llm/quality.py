@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Most labelled rows that training takes (smallest hashes of their ids): 30,000 x 27 floats are 7 MB.
 TRAIN_ROWS = 30_000
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     )
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in tidy(batches):
             yield pd.DataFrame({"i": batch["i"], "y": batch["y"], "x": [statistics(t).tolist() for t in batch["t"]]})
 
     sample = (
@@ -172,10 +172,9 @@ def _score(spark: SparkSession, model: Trees):
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        return pd.Series(sent.value.score(np.stack([statistics(t) for t in texts])))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in tidy(batches):
+            yield pd.Series(sent.value.score(np.stack([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
 
     return score
 

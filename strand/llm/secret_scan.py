@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns. Runs are taken whole and tested for length afterwards; for access and hex a minimum in
 #: the pattern finds the same matches, as a run that is too short holds no longer one.
@@ -16,12 +18,19 @@ PATTERNS = {
     "hex": r"[0-9a-f]{32,}",
 }
 ASSIGN_VALUE = 8
-#: Tokens that the battery tests: runs of letters, digits, + / _ - with a digit in them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Expected share of false spans among those that the battery adds.
+#: Tokens that the battery tests: runs of 16 and more letters, digits, + / _ -. Decimal numbers aren't: their digits are
+#: as even as those of a secret, whatever they count.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?![0-9]+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Expected share of false spans among those that the battery adds, in each family of tokens.
 FALSE_DISCOVERY = 0.01
-#: Bounds of length classes; each is controlled by itself, so that many short candidates don't hide or lift long ones.
+#: Bounds of length classes. A family is an encoding and a length class, over the whole corpus: many short
+#: candidates, or words, neither hide nor lift long or mixed ones.
 LENGTHS = (32, 64)
+#: Chances are compared on a scale of this many steps a power of ten, from 1 down to 1e-16.
+STEPS = 20
+#: What prose and names have: how often two letters agree, changes between classes of symbols in one case and in
+#: both, and the share of vowels. Under randomness the encoding alone tells all of them.
+PROSE_AGREE, PROSE_CHANGES, CAMEL_CHANGES, PROSE_VOWELS = 0.066, 0.2, 0.4, 0.38
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
@@ -71,20 +80,26 @@ def _sum(values: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of tests of one token (string) against randomness over its inferred encoding.
-
-    The encoding is the smallest alphabet that holds the token: digits and a-f (16), one case and
-    digits (36), or all (64). Under randomness the chi-squared statistic of symbol counts is near its
-    degrees of freedom, the runs of letter classes (upper, lower, digit) and the serial correlation of
-    neighbouring symbols near their expectations. p_structured is the chance that a token of words
-    (whose letters are as uneven as those of prose) looks as even as this one: it falls with length.
-    p_random is the smallest of the three tests' chances, times 3.
+    """Struct of tests of one token (string) against randomness over its inferred encoding, and against structure.
+
+    The encoding is the smallest alphabet that holds the token: hex (16), one case (26), base 32, one case and
+    digits (36), letters (52), or all (64). p_random is the smallest chance, times 3, of three tests of
+    randomness: the chi-squared statistic of symbol counts, the runs of symbol classes (upper, lower, digit,
+    other) and the serial correlation of neighbouring symbols. p_structured is the chance that a token of words
+    looks as random as this one: its symbols as even, its classes changing as often, its vowels as few. It falls
+    with length. grade is its place on the scale of STEPS.
     """
     one = F.lit(1)
 
     def symbols(body: Column) -> Column:
-        a = F.when(F.rlike(body, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), 16.0).when(F.rlike(body, F.lit("^([0-9a-z]+|[0-9A-Z]+)$")), 36.0).otherwise(64.0)
-        return F.struct(F.length(body).cast("double").alias("n"), a.alias("a"), F.transform(F.split(body, ""), lambda c: F.ascii(c)).alias("codes"))
+        is_in = lambda *sets: F.rlike(body, F.lit("^(" + "|".join(f"[{x}]+" for x in sets) + ")$"))
+        a = (
+            F.when(is_in("0-9a-f", "0-9A-F"), 16.0).when(is_in("a-z", "A-Z"), 26.0).when(is_in("A-Z2-7"), 32.0)
+            .when(is_in("0-9a-z", "0-9A-Z"), 36.0).when(is_in("A-Za-z"), 52.0).otherwise(64.0)
+        )
+        vowels = F.length(F.regexp_replace(F.lower(body), "[^aeiou]", "")).cast("double")
+        letters = F.length(F.regexp_replace(F.lower(body), "[^a-z]", "")).cast("double")
+        return F.struct(F.length(body).cast("double").alias("n"), a.alias("a"), vowels.alias("vowels"), letters.alias("letters"), F.transform(F.split(body, ""), lambda c: F.ascii(c)).alias("codes"))
 
     def classes(v: Column) -> Column:
         # digit, upper, lower, other
@@ -92,7 +107,7 @@ def battery(token: Column) -> Column:
         mean = F.aggregate(v["codes"], F.lit(0.0), lambda s, c: s + c) / v["n"]
         off = _let(mean, lambda m: F.transform(v["codes"], lambda c: c - m))
         squares = F.aggregate(F.array_distinct(v["codes"]), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(v["codes"], lambda d: d == c)).cast("double"), 2))
-        return F.struct(v["n"].alias("n"), v["a"].alias("a"), group.alias("group"), off.alias("off"), squares.alias("squares"))
+        return F.struct(*[v[k].alias(k) for k in ("n", "a", "vowels", "letters")], group.alias("group"), off.alias("off"), squares.alias("squares"))
 
     def sums(v: Column) -> Column:
         later = F.size(v["group"]) - 1
@@ -100,18 +115,22 @@ def battery(token: Column) -> Column:
         same = F.aggregate(F.array(*[F.lit(k) for k in range(4)]), F.lit(0.0), lambda s, k: s + F.pow(F.size(F.filter(v["group"], lambda g: g == k)) / v["n"], 2))
         power = _sum(F.transform(v["off"], lambda x: x * x))
         products = _sum(F.zip_with(F.slice(v["off"], one, later), F.slice(v["off"], one + 1, later), lambda x, y: x * y))
-        return F.struct(v["n"].alias("n"), v["a"].alias("a"), (v["squares"] * v["a"] / v["n"] - v["n"]).alias("chi"), changes.alias("changes"),
+        return F.struct(*[v[k].alias(k) for k in ("n", "a", "vowels", "letters")], (v["squares"] * v["a"] / v["n"] - v["n"]).alias("chi"), changes.alias("changes"),
                         same.alias("same"), (products / F.greatest(power, F.lit(1e-9))).alias("serial"))
 
     def deviations(v: Column) -> Column:
-        n, free, same = v["n"], v["a"] - 1, v["same"]
+        n, a, free, same = v["n"], v["a"], v["a"] - 1, v["same"]
         spread = F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(0.5)))
-        # symbols of prose agree in pairs with chance 0.066; 1 / a is what random symbols have
-        uneven = F.lit(0.066) * v["a"] - 1
+        uneven = F.lit(PROSE_AGREE) * a - 1
+        even = -(v["chi"] - free - (n - 1) * uneven) / F.sqrt(2 * (free + 2 * (n - 1) * uneven))
+        usual = F.when(a >= 52, CAMEL_CHANGES).otherwise(PROSE_CHANGES)
+        changing = (v["changes"] - (n - 1) * usual) / F.sqrt((n - 1) * usual * (1 - usual))
+        few_vowels = (PROSE_VOWELS * v["letters"] - v["vowels"]) / F.sqrt(F.greatest(v["letters"], one) * PROSE_VOWELS * (1 - PROSE_VOWELS))
+        # one case has no classes to change, hex letters no vowels to miss
+        structured = F.when(a == 26, (even + few_vowels) / math.sqrt(2)).when(a == 16, (even + changing) / math.sqrt(2)).otherwise((even + changing + few_vowels) / math.sqrt(3))
         return F.struct(
-            n.cast("int").alias("n"), v["a"].cast("int").alias("alphabet"), ((v["chi"] - free) / F.sqrt(2 * free * (1 - 1 / n))).alias("z_chi"),
-            F.when(same > 0.999, 0.0).otherwise((v["changes"] - n * (1 - same)) / spread).alias("z_runs"), ((v["serial"] + 1 / n) * F.sqrt(n)).alias("z_serial"),
-            ((v["chi"] - free - (n - 1) * uneven) / F.sqrt(2 * (free + 2 * (n - 1) * uneven))).alias("z_structured"),
+            n.cast("int").alias("n"), a.cast("int").alias("alphabet"), ((v["chi"] - free) / F.sqrt(2 * free * (1 - 1 / n))).alias("z_chi"),
+            F.when(same > 0.999, 0.0).otherwise((v["changes"] - n * (1 - same)) / spread).alias("z_runs"), ((v["serial"] + 1 / n) * F.sqrt(n)).alias("z_serial"), structured.alias("z_structured"),
         )
 
     def chances(v: Column) -> Column:
@@ -119,43 +138,43 @@ def battery(token: Column) -> Column:
         upper = F.least(F.lit(1.0), 2 * _normal_tail(v["z_chi"]))
         return F.struct(
             *[v[k].alias(k) for k in ("n", "alphabet", "z_chi", "z_runs", "z_serial")],
-            F.least(F.lit(1.0), 3 * F.least(*two_sided, upper)).alias("p_random"), _normal_tail(-v["z_structured"]).alias("p_structured"),
+            F.least(F.lit(1.0), 3 * F.least(*two_sided, upper)).alias("p_random"), _normal_tail(v["z_structured"]).alias("p_structured"),
         )
 
+    def graded(v: Column) -> Column:
+        grade = F.floor(-F.log10(F.greatest(F.least(v["p_structured"], F.lit(1.0)), F.lit(1e-16))) * STEPS).cast("int")
+        length = sum(((v["n"] >= bound).cast("int") for bound in LENGTHS), F.lit(0))
+        return F.struct((v["alphabet"] * (len(LENGTHS) + 1) + length).alias("family"), *[v[k].alias(k) for k in ("n", "alphabet", "p_random", "p_structured")], grade.alias("grade"))
+
     out = F.regexp_replace(token, "=+$", "")
-    for stage in (symbols, classes, sums, deviations, chances):
+    for stage in (symbols, classes, sums, deviations, chances, graded):
         out = _let(out, stage)
     return out
 
 
-def _discoveries(tested: Column) -> Column:
-    """Benjamini and Hochberg's step-up by length class over p_structured, for tokens that stay random."""
+def discovery_limits(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int]:
+    """Least grade of a discovery by family: Benjamini and Hochberg's step-up over all tokens of the corpus.
 
-    def control(members: Column) -> Column:
-        def kept(own: Column) -> Column:
-            ranked = F.array_sort(F.transform(own, lambda x: x["test"]["p_structured"]))
-            passing = F.filter(F.transform(ranked, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("k"))), lambda x: x["p"] <= FALSE_DISCOVERY * x["k"] / F.size(own))
-            limit = F.coalesce(F.array_max(F.transform(passing, lambda x: x["p"])), F.lit(-1.0))
-            return _let(limit, lambda most: F.filter(own, lambda x: x["test"]["p_structured"] <= most))
-
-        return _let(members, kept)
-
-    bounds = (0, *LENGTHS, None)
-    classes = []
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        inside = (lambda lo, hi: lambda x: (x["test"]["n"] >= lo) if hi is None else (x["test"]["n"] >= lo) & (x["test"]["n"] < hi))(low, high)
-        classes.append(control(F.filter(tested, inside)))
-    return F.filter(F.concat(*classes), lambda x: x["test"]["p_random"] >= 0.01)
+    ``tested`` is one row a token (family, grade). Counts by grade are summed map-side; at most 321 grades a family are
+    ranked, and one number a family reaches the driver. A grade's largest chance stands for all in it.
+    """
+    counts = tested.groupBy("family", "grade").agg(F.count("*").alias("c"))
+    better = Window.partitionBy("family").orderBy(F.desc("grade"))
+    ranked = counts.withColumns({"k": F.sum("c").over(better), "m": F.sum("c").over(Window.partitionBy("family"))})
+    passing = ranked.filter(F.pow(F.lit(10.0), -F.col("grade") / STEPS) <= rate * F.col("k") / F.col("m"))
+    return {r["family"]: r["least"] for r in passing.groupBy("family").agg(F.min("grade").alias("least")).collect()}
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERY) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and added (array of start, end) of every row.
 
-    Base spans are those of the fixed patterns; the battery adds spans of kind random. base_sha256 and
-    spans list kind:start:end by start, then kind; offsets are code points of the whole text.
+    Base spans are those of the fixed patterns; the battery adds spans of kind random: tokens that all of its
+    tests leave random and that the control over the whole corpus tells from words. base_sha256 and spans list
+    kind:start:end by start, then kind; offsets are code points of the whole text. Texts are scanned once; what the
+    scan finds is written, so the control's limits and the result come from spans and grades, not from texts.
 
-    Null text is empty. Ids may be null or repeat, each row stands by itself. No rows give no rows;
-    other columns are ignored. Nothing is shuffled and no Python runs on the executors.
+    Null text is empty. Ids may be null or repeat, each row stands by itself. No rows give no rows; other
+    columns are ignored. No row is shuffled, only counts of grades, and no Python runs on the executors.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
@@ -165,15 +184,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", assign.alias("assign"), _found(t, PATTERNS["access"], "access").alias("access"), _found(t, PATTERNS["hex"], "hex").alias("hex"),
         _found(t, CANDIDATE, "random").alias("candidates"),
     )
-    base = F.array_sort(F.concat("assign", "access", "hex"))
+    place = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
+    base = F.transform(F.array_sort(F.concat("assign", "access", "hex")), place)
     rows = rows.select(
         "doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
-        base.alias("base"), F.transform("candidates", lambda c: F.struct(c.alias("span"), battery(c["match"]).alias("test"))).alias("tested"),
+        base.alias("base"), "candidates",
     )
-    added = F.when(F.size("tested") > 0, F.transform(_discoveries(F.col("tested")), lambda x: x["span"])).otherwise(F.array().cast(_NONE))
-    # a span inside a base span says nothing new
-    added = F.filter(added, lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    rows = rows.withColumn("added", added)
+    # a token inside a base span says nothing new
+    fresh = F.filter("candidates", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    graded = lambda c: F.struct(place(c).alias("span"), battery(c["match"]).alias("test"))
+    found = materialize(rows.withColumn("fresh", fresh).select("doc_id", "n_assign", "n_access", "n_hex", "base", F.transform("fresh", graded).alias("tested")), "secrets-found")
+    limits = discovery_limits(found.select(F.explode("tested").alias("x")).select("x.test.family", "x.test.grade"), rate)
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    added = none
+    if limits:
+        least = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+        chosen = F.filter("tested", lambda x: (x["test"]["p_random"] >= 0.01) & F.coalesce(x["test"]["grade"] >= F.try_element_at(least, x["test"]["family"]), F.lit(False)))
+        added = F.transform(chosen, lambda x: x["span"])
+    rows = found.withColumn("added", added)
     names = F.array(*[F.lit(k) for k in (*KINDS, "random")])
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))))
     return rows.select(

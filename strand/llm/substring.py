@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, small_batches
+from .common import BROADCAST_ROWS, materialize, small_batches, tidy
 
 WINDOW = 20
 #: Odd, so that its powers have inverses modulo 2**64.
@@ -115,7 +115,7 @@ def _scan(window: int, bits: int, blocks: int):
     place; the others are repeats already. Rows go out by bucket (the hash's top bits), hashes sorted.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, marks, docs in _chunks(batches):
+        for ids, marks, docs in _chunks(tidy(batches)):
             order = np.lexsort((marks, ids))
             ids, marks, docs = ids[order], marks[order], [docs[k] for k in order]
             sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
@@ -208,7 +208,7 @@ def removal_intervals(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             done = batch["bucket"] < 0
             if done.any():
                 yield batch.loc[done, ["block", "ids", "marks", "places"]]
@@ -272,15 +272,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     joined = joined.select(F.when(F.col("i") < _LAST, F.col("i")).alias("doc_id"), "t", "spans")
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept_sha256:string,text:string>")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own in zip(texts, spans, strict=True):
-            words = text.encode().split() if text else []
-            n = len(words)
-            for s in reversed(own) if own is not None else ():
-                del words[s["begin"] : s["end"]]
-            kept = b" ".join(words)
-            rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "text"])
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in tidy(batches):
+            rows = []
+            for text, own in zip(texts, spans, strict=True):
+                words = text.encode().split() if text else []
+                n = len(words)
+                for s in reversed(own) if own is not None else ():
+                    del words[s["begin"] : s["end"]]
+                kept = b" ".join(words)
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "text"])
 
     return joined.withColumn("cut", cut("t", "spans")).select("doc_id", "cut.*")

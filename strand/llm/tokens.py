@@ -6,13 +6,16 @@ import re
 
 import numpy as np
 
+from .common import hand_back
+
 #: Words of these characters only (ASCII and Latin-1 letters): no normal form changes them and each of
 #: their characters is lower-cased by itself, so they can be cut without the tokenizer's own splitter.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The file's own split pattern (a fixed value), for those characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ÿ]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_CACHED = 300_000
+#: Entries of each of a cache's two generations: about 200 bytes an entry.
+_CACHED = 100_000
 _LONGEST = 64
 
 
@@ -23,8 +26,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Generations[K]:
+    """A bounded cache: when the young generation is full it becomes the old one, and what is asked for again is young again."""
+
+    def __init__(self, size: int = _CACHED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: K) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: K, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordIds:
-    """ids(text) of one tokenizer. Memory is bounded: caches are emptied at 300,000 entries."""
+    """ids(text) of one tokenizer. Memory is bounded by the caches' bounds."""
 
     def __init__(self, path: str):
         import json
@@ -45,8 +66,8 @@ class WordIds:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words: Generations[bytes] = Generations()
+        self.parts: Generations[str] = Generations()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,21 +78,19 @@ class WordIds:
             letters = part.encode().decode("latin-1").translate(self.letters)
             found = np.asarray([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
             if len(part) <= _LONGEST:
-                if len(self.parts) >= _CACHED:
-                    self.parts.clear()
-                self.parts[part] = found
+                self.parts.put(part, found)
         return found
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text):
-            found = b"".join(map(self._part, _PARTS.findall(text.lower())))
-        else:
-            found = self._whole(text)
-        if len(word) <= _LONGEST:
-            if len(self.words) >= _CACHED:
-                self.words.clear()
-            self.words[word] = found
+        found = self.words.get(word)
+        if found is None:
+            text = word.decode()
+            if _PLAIN.fullmatch(text):
+                found = b"".join(map(self._part, _PARTS.findall(text.lower())))
+            else:
+                found = self._whole(text)
+            if len(word) <= _LONGEST:
+                self.words.put(word, found)
         return found
 
     def ids(self, text: str | None) -> bytes:
@@ -82,11 +101,10 @@ class WordIds:
         if not self.by_word or any(s in data for s in self.special):
             return self._whole(text)
         words = data.split()
-        get = self.words.get
-        found = list(map(get, words))
+        found = list(map(self.words.young.get, words))
         if None in found:
             word = self._word
-            found = [x if x is not None else get(w) or word(w) for x, w in zip(found, words, strict=True)]
+            found = [word(w) if x is None else x for x, w in zip(found, words, strict=True)]
         return b"".join(found)
 
 
@@ -97,4 +115,5 @@ def word_ids(path: str) -> WordIds:
     """The tokenizer of ``path``, loaded once a Python worker."""
     if path not in _LOADED:
         _LOADED[path] = WordIds(path)
+        hand_back()  # the file's text is large
     return _LOADED[path]
