@@ -343,18 +343,19 @@ def _sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
     classes that have no other. The set's own mark tells its class.
     """
 
-    @F.pandas_udf("struct<mark:string,hashes:array<long>>")
-    def full(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in tidy(batches):
-            sets = [shingles(t, width) for t in texts]
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in tidy(batches):
+            sets = [shingles(t, width) for t in batch["t"]]
             yield pd.DataFrame({"mark": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
 
     ends = materialize(ends, "minhash-ends")
     n = ends.count()
-    wanted = texts.join(bounded_broadcast(ends.select("least_id"), n), F.col("i") == F.col("least_id"), "left_semi").select(full("t").alias("set"))
+    wanted = texts.join(bounded_broadcast(ends.select("least_id"), n), F.col("i") == F.col("least_id"), "left_semi").select("t")
     if ends.filter("least_id is null").limit(1).count():
-        wanted = wanted.unionByName(texts.filter("i is null").select(full("t").alias("set")))
-    found = materialize(wanted.select("set.*").join(bounded_broadcast(ends, n), "mark").select("class_id", "hashes"), "minhash-sets")
+        wanted = wanted.unionByName(texts.filter("i is null").select("t"))
+    # a map over the rows that are left: a column function might be evaluated before the join, or twice
+    sets = wanted.mapInPandas(full, "mark string, hashes array<long>")
+    found = materialize(sets.join(bounded_broadcast(ends, n), "mark").select("class_id", "hashes"), "minhash-sets")
     return found if found.count() == n else found.dropDuplicates(["class_id"])
 
 
