@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ _BLOCKS = frozenset(
     "select summary table tbody td template textarea tfoot th thead title tr ul iframe object svg math video audio canvas".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text never counts, wherever they stand.
+#: Elements that by HTML's own meaning hold no article text, wherever they stand.
 _NEVER = frozenset(
     "head title script style noscript template nav aside footer form iframe object svg button select textarea dialog menu search option canvas "
     "audio video math".split()
@@ -30,30 +32,43 @@ _CLOSES = {
     "option": {"option"}, "body": {"head"},
 } | {t: {"p"} for t in _BLOCKS - {"p", "li", "dt", "dd", "tr", "td", "th", "option", "body"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark what isn't the article.
+#: Words of class and id names that speak against a block. They don't decide: each line of such a block counts as many
+#: tags more, which lowers its text-to-tag ratio.
 _MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr "
-    "notice notices popup modal overlay newsletter subscribe subscription signup sidebar sidebars rail aside comment comments commentlist "
-    "disqus reply replies respond discussion related recommended recommendations teaser share sharing social follow menu navbar nav navigation "
-    "breadcrumb breadcrumbs masthead footer widget widgets toolbar pagination pager login search disclaimer skip".split()
+    "ad ads advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice popup overlay newsletter subscribe "
+    "sidebar comment comments reply replies related recommended share social menu navbar navigation breadcrumb masthead header footer widget".split()
 )
+MARK_TAGS = 40
+#: Blocks of running text, and lists and tables of it.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead tfoot caption figcaption summary".split())
+_LISTS = frozenset("ul ol dl table figure".split())
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ROOTS = frozenset({"html", "body", "article", "main"})
 
 
+class Line(NamedTuple):
+    """A block's text, the tags and link characters in it, marks against it, and the number of the innermost block."""
+
+    text: str
+    tags: int
+    linked: int
+    marks: int
+    block: int
+
+
 class _Lines(HTMLParser):
-    """Streams a page into lines: text of a block, tags in it, the chain of open blocks and whether it can be content."""
+    """Streams a page into lines and the tree of blocks that they stand in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, boilerplate (its own or inherited)
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, number, never content, marks (its own and inherited)
         self.parents: dict[int, int] = {}
         self.names: dict[int, str] = {}
         self.numbers = 0
         self.data: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, number of the innermost block
+        self.tags = self.linked = self.links = 0
+        self.lines: list[Line] = []
         self.mute = 0
 
     def _flush(self) -> None:
@@ -61,28 +76,32 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.data).split())
             self.data = []
             if text and not (self.open and self.open[-1][2]):
-                self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
+                self.lines.append(Line(text, self.tags, self.linked, self.open[-1][3] if self.open else 0, self.open[-1][1] if self.open else 0))
                 self.tags = 0
+            self.linked = 0
 
-    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _NEVER:
             return True
+        inside = any(t in ("article", "main") for t, *_ in self.open)
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
+            return not inside
+        if tag == "article" and any(t == "article" for t, *_ in self.open):
+            return True  # an article in an article is, by HTML's own meaning, a reader's comment on it
         if tag in _ROOTS:
             return False
-        for name, value in attrs:
-            if name in ("class", "id"):
-                words = _NAME.findall(_CAMEL.sub(" ", value or ""))
-                if any(w.lower() in _MARKS for w in words):
-                    return True
-                if any(w.lower() == "header" for w in words) and not any(t in ("article", "main") for t, _, _ in self.open):
-                    return True
-            elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            elif name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+        return any(
+            (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true")
+            or (name == "style" and value is not None and re.search(r"display\s*:\s*none", value) is not None)
+            for name, value in attrs
+        )
+
+    @staticmethod
+    def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag in _ROOTS:
+            return 0
+        words = [w.lower() for name, value in attrs if name in ("class", "id") for w in _NAME.findall(_CAMEL.sub(" ", value or ""))]
+        return int(any(w in _MARKS for w in words))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -91,9 +110,11 @@ class _Lines(HTMLParser):
                 self.data.append(" ")
             elif tag in ("script", "style"):
                 self.mute += 1
-            elif attrs and tag not in _VOID and self._boilerplate(tag, attrs):
+            elif tag == "a":
+                self.links += 1
+            elif attrs and tag not in _VOID and (self._never(tag, attrs) or self._marked(tag, attrs)):
                 self._flush()
-                self._push(tag, True)
+                self._push(tag, attrs)
             return
         self._flush()
         if tag in _VOID:
@@ -101,13 +122,13 @@ class _Lines(HTMLParser):
         closes = _CLOSES.get(tag, ())
         while self.open and self.open[-1][0] in closes:
             self.open.pop()
-        self._push(tag, self._boilerplate(tag, attrs))
+        self._push(tag, attrs)
 
-    def _push(self, tag: str, own: bool) -> None:
+    def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.numbers += 1
-        parent = self.open[-1] if self.open else ("", 0, False)
-        self.parents[self.numbers], self.names[self.numbers] = parent[1], tag
-        self.open.append((tag, self.numbers, own or parent[2]))
+        _, parent, never, marks = self.open[-1] if self.open else ("", 0, False, 0)
+        self.parents[self.numbers], self.names[self.numbers] = parent, tag
+        self.open.append((tag, self.numbers, never or self._never(tag, attrs), marks + self._marked(tag, attrs)))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,6 +140,8 @@ class _Lines(HTMLParser):
         if tag in ("script", "style"):
             self.mute = max(0, self.mute - 1)
             return
+        if tag == "a":
+            self.links = max(0, self.links - 1)
         at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
         if tag in _BLOCKS or at is not None:
             self._flush()
@@ -128,6 +151,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.mute:
             self.data.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -151,12 +176,21 @@ def two_clusters(values: np.ndarray) -> float:
     return threshold
 
 
+def content_lines(lines: list[Line], sigma: float = 1.0) -> list[bool]:
+    """Which lines are of the high cluster of smoothed text-to-tag ratios."""
+    ratios = np.array([len(line.text) / max(1, line.tags + MARK_TAGS * line.marks) for line in lines])
+    smooth = smoothed(ratios, sigma)
+    # the mean of neighbours lifts no line that is marked, and a threshold between equal lines parts none
+    return ((smooth >= two_clusters(smooth) - 1e-9) & (np.array([line.marks for line in lines]) == 0)).tolist()
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """The article's blocks, one a line.
 
-    Lines with high smoothed text-to-tag ratio vote for the region: the innermost element that holds
-    ``share`` of their text, widened to the article or main element around it. All lines of the region
-    that aren't marked as something else belong to the article, short ones too.
+    Lines of the high cluster of smoothed text-to-tag ratios select the regions of content: the article is the
+    innermost element that holds ``share`` of their text, and of what stands in it each block that holds such a
+    line. Paragraphs and headings beside them belong to the article, short ones too, and so do lists and tables
+    without links; link lists, boxes and marked blocks without a content line don't.
     """
     if not html:
         return ""
@@ -175,27 +209,50 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
             number = page.parents[number]
         return out[::-1]
 
-    chains = {n: chain(n) for n in {line[2] for line in lines}}
-    for wanted in ("article", "main"):
-        inside = [line for line in lines if any(page.names[n] == wanted for n in chains[line[2]])]
-        if inside:
-            lines = inside
-            break
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
-    smooth = smoothed(ratios, sigma)
-    voters = [line for line, s in zip(lines, smooth, strict=True) if s >= two_clusters(smooth)] or lines
+    chains = {n: chain(n) for n in {line.block for line in lines}}
+    high = content_lines(lines, sigma)
+    if not any(high):
+        high = [True] * len(lines)
     held: dict[int, int] = {}
-    for text, _, number in voters:
-        for n in chains[number]:
-            held[n] = held.get(n, 0) + len(text)
-    total = sum(len(text) for text, _, _ in voters)
+    texts: dict[int, int] = {}
+    links: dict[int, int] = {}
+    tags: Counter[str] = Counter()
+    for line, chosen in zip(lines, high, strict=True):
+        for n in chains[line.block]:
+            texts[n] = texts.get(n, 0) + len(line.text)
+            links[n] = links.get(n, 0) + line.linked
+            if chosen:
+                held[n] = held.get(n, 0) + len(line.text)
+        if chosen and line.block:
+            tags[page.names[line.block]] += len(line.text)
+    total = sum(len(line.text) for line, chosen in zip(lines, high, strict=True) if chosen)
     region = max((n for n, size in held.items() if size >= share * total), key=lambda n: len(chain(n)), default=0)
     around = chain(region)
     region = next((n for n in around if page.names[n] == "article"), next((n for n in around if page.names[n] == "main"), region))
+    # where the page itself names one article in the region that holds most of its content, that is it
+    named = [n for n, size in held.items() if page.names[n] == "article" and size > 0.5 * total and (not region or region in chain(n))]
+    if len(named) == 1:
+        region = named[0]
     # a single paragraph is no region of its own: what stands beside it belongs to it
-    while region and page.names[region] in ("p", "li", "td", "tr", "tbody", "h1", "h2", "h3", "h4", "h5", "h6"):
+    while region and page.names[region] in _RUNNING | _LISTS:
         region = page.parents[region]
-    return "\n".join(text for text, _, number in lines if not region or region in chains[number])
+    usual = tags.most_common(1)[0][0] if tags else ""
+
+    def belongs(line: Line) -> bool:
+        way = chains[line.block]
+        if region:
+            if region not in way:
+                return False
+            way = way[way.index(region) + 1 :]
+        for n in way:
+            name = page.names[n]
+            if held.get(n) or name in ("html", "body"):
+                continue
+            if line.marks or (name not in _RUNNING and name != usual and (name not in _LISTS or 2 * links[n] >= texts[n])):
+                return False
+        return True
+
+    return "\n".join(line.text for line in lines if belongs(line))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
