@@ -23,10 +23,17 @@ def mention_type(tag: Column, text: Column) -> Column:
     )
 
 
+#: Tags and dependencies of mentions' roots, tags that no dependency redeems, and pronouns that can be left out (fixed values).
+KEPT_TAGS = ("NN", "NNP", "NNPS", "NNS", "PRP", "PRP$", "DT", "IN")
+KEPT_DEPS = ("nsubj", "dobj", "iobj", "pobj")
+BARRED_TAGS = ("CC", "TO")
+PRONOUN_BLACKLIST = ("i", "me", "my", "you", "your")
+
+
 def mention_allowed(tag: Column, dep: Column, text: Column, blacklist: bool = True) -> Column:
-    """Roots of mentions: noun or pronoun tags or kept dependencies; listed pronouns are left out if ``blacklist``."""
-    kept = tag.rlike("^(NN|PRP|DT$)") | (dep.isin("nsubj", "dobj", "iobj", "pobj") & ~tag.rlike("^(IN|CC|TO)"))
-    return kept & ~F.lower(text).isin("i", "me", "my", "you", "your") if blacklist else kept
+    """Roots of mentions: noun, pronoun or determiner tags, or kept dependencies; listed pronouns are left out if ``blacklist``."""
+    kept = tag.isin(*KEPT_TAGS) | (dep.isin(*KEPT_DEPS) & ~tag.isin(*BARRED_TAGS))
+    return kept & ~F.lower(text).isin(*PRONOUN_BLACKLIST) if blacklist else kept
 
 
 def with_ordinals(mentions: DataFrame, *order: str) -> DataFrame:
@@ -101,12 +108,27 @@ def resolved_text(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
 
     The first token of a mention carries the replacement, the others go; mentions must not overlap.
     """
-    hit = tokens.join(mentions.withColumnRenamed("doc", "d"), (F.col("doc") == F.col("d")) & (F.col("tok") >= F.col("start")) & (F.col("tok") < F.col("end")), "left")
+    covered = mentions.select("doc", "start", "main", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("tok"))
+    hit = tokens.join(covered, ["doc", "tok"], "left")
     word = F.when(F.col("start").isNull(), F.col("word")).when(F.col("tok") == F.col("start"), F.col("main"))
     kept = hit.select("doc", "tok", word.alias("word")).filter("word is not null")
     return kept.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok", "word"))), lambda x: x["word"]), " ").alias("text"))
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """Pairs of rows of the same keys whose ranges [b, e) overlap, with what else the rows hold.
+
+    An equi-join on the keys and on stretches of ``width`` that a range touches; a pair counts in the first
+    stretch that both touch, so long texts cost no more than their overlaps.
+    """
+    first = F.floor(F.col("b") / width).cast("long")
+    touched = F.sequence(first, F.floor((F.greatest(F.col("e"), F.col("b") + 1) - 1) / width).cast("long"))
+    a = left.withColumns({"first_l": first, "stretch": F.explode(touched)}).withColumnsRenamed({"b": "b_l", "e": "e_l"})
+    c = right.withColumns({"first_r": first, "stretch": F.explode(touched)}).withColumnsRenamed({"b": "b_r", "e": "e_r"})
+    met = a.join(c, [*keys, "stretch"]).filter((F.col("b_r") < F.col("e_l")) & (F.col("b_l") < F.col("e_r")))
+    return met.filter(F.col("stretch") == F.greatest("first_l", "first_r"))
+
+
 # ---- metrics: key and response are (case, mention, cluster) ------------------------------------------
 
 
@@ -178,11 +200,19 @@ def ceaf(key: DataFrame, response: DataFrame, entity: bool) -> DataFrame:
     pairs = _overlaps(key, response).join(k.withColumnRenamed("size", "ks"), ["case", "k"]).join(r.withColumnRenamed("size", "rs"), ["case", "r"])
     phi = 2 * F.col("shared") / (F.col("ks") + F.col("rs")) if entity else F.col("shared").cast("double")
 
-    def align(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot_table(index="k", columns="r", values="phi", fill_value=0.0).to_numpy(dtype=float)
-        return pd.DataFrame({"case": [rows["case"].iloc[0]], "total": [best_assignment(grid)]})
-
-    total = pairs.select("case", "k", "r", phi.alias("phi")).groupBy("case").applyInPandas(align, "case string, total double")
+    @F.pandas_udf("double")
+    def align(batch: pd.Series) -> pd.Series:
+        out = []
+        for cells in batch:
+            rows, columns = ({x: i for i, x in enumerate(dict.fromkeys(c[name] for c in cells))} for name in ("k", "r"))
+            grid = np.zeros((len(rows), len(columns)))
+            for c in cells:
+                grid[rows[c["k"]], columns[c["r"]]] = c["phi"]
+            out.append(best_assignment(grid))
+        return pd.Series(out)
+
+    cells = F.collect_list(F.struct(F.col("k"), F.col("r"), phi.alias("phi")))
+    total = pairs.groupBy("case").agg(cells.alias("cells")).select("case", align("cells").alias("total"))
     size = F.count("*") if entity else F.sum("size")
     return (
         k.groupBy("case").agg(size.cast("double").alias("recall_of")).join(r.groupBy("case").agg(size.cast("double").alias("precision_of")), "case")

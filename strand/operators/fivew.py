@@ -103,3 +103,124 @@ def mention_spans(tokens: DataFrame, longest: int = 6) -> DataFrame:
     words = F.transform(F.array_sort(F.collect_list(F.struct("index", "word"))), lambda x: x["word"])
     grouped = flat.withColumn("run", F.when(F.col("pronoun"), F.col("index") + 1_000_000).otherwise(run)).groupBy("doc_id", "sent", "run").agg(F.min("index").alias("start"), (F.max("index") + 1).alias("end"), words.alias("words"))
     return grouped.filter(F.size("words") <= longest).select("doc_id", "sent", "start", "end", F.array_join("words", " ").alias("text"))
+
+
+# ---- constituents -----------------------------------------------------------------------------------------
+
+Parser = Callable[[list[Token]], str]
+_VERBS = frozenset("is are was were be been has have had do does did will would can could may might shall should must said says".split())
+_PREPOSITIONS = frozenset("in at from near to of on by with through via for into over under about".split())
+
+
+def chunk_tree(tokens: list[Token]) -> str:
+    """A shallow bracketed tree of one sentence: noun phrases, verb groups, and prepositions with the phrase that follows.
+    The default where no parser is given."""
+    kinds = []
+    for t in tokens:
+        word = str(t["word"]).lower()
+        kinds.append("P" if word in _PREPOSITIONS else "V" if word in _VERBS else "." if t["pos"] == "." else "N")
+    escape = {"(": "-LRB-", ")": "-RRB-"}
+    leaves = [f"({t['pos']} {escape.get(str(t['word']), t['word'])})" for t in tokens]
+    out, i = [], 0
+
+    def run(start: int, kind: str) -> int:
+        end = start
+        while end < len(kinds) and kinds[end] == kind:
+            end += 1
+        return end
+
+    while i < len(kinds):
+        if kinds[i] == ".":
+            out.append(leaves[i])
+            i += 1
+            continue
+        if kinds[i] == "P":
+            end = run(i + 1, "N")
+            inner = f" (NP {' '.join(leaves[i + 1 : end])})" if end > i + 1 else ""
+            out.append(f"(PP {leaves[i]}{inner})")
+        else:
+            end = run(i, kinds[i])
+            out.append(f"({'VP' if kinds[i] == 'V' else 'NP'} {' '.join(leaves[i:end])})")
+        i = end
+    return f"(S {' '.join(out)})"
+
+
+def constituents(passages: DataFrame, annotator: Annotator = annotate, parser: Parser = chunk_tree, longest: int = 300) -> DataFrame:
+    """(doc_id, sent, tree, error): one tree a sentence. Sentences of more than ``longest`` tokens, and any that the parser
+    fails on, keep their row with an error and no tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                sentences: dict[int, list[Token]] = {}
+                for t in annotator(text or ""):
+                    sentences.setdefault(int(t["sent"]), []).append(t)
+                for sent, tokens in sentences.items():
+                    tree, error = None, None
+                    if len(tokens) > longest:
+                        error = "too long"
+                    else:
+                        try:
+                            tree = parser(tokens)
+                        except Exception as e:  # one sentence, not the batch
+                            error = f"{type(e).__name__}: {e}"
+                    rows.append((doc, sent, tree, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "sent", "tree", "error"])
+
+    return passages.select("doc_id", "text").mapInPandas(run, "doc_id string, sent int, tree string, error string")
+
+
+# ---- environment ------------------------------------------------------------------------------------------
+
+
+def environment(passages: DataFrame, base: dt.date, annotator: Annotator = annotate, near_days: int = 1) -> DataFrame:
+    """(doc_id, question, rank, answer, score): candidates for where and when of each passage, best first.
+
+    Places are runs of place names, dates those that the text names. A candidate's score is its share of mentions and
+    how early it comes. Dates within ``near_days`` of a better one, and places that repeat a better one's words, are
+    the same answer and go.
+    """
+
+    def ranked(found: list[tuple[str, int]], size: int, same) -> list[tuple[str, float]]:
+        total = max(1, len(found))
+        first: dict[str, int] = {}
+        count: dict[str, int] = {}
+        for said, at in found:
+            first.setdefault(said, at)
+            count[said] = count.get(said, 0) + 1
+        scored = sorted(((0.5 * count[x] / total + 0.5 * (1 - first[x] / max(1, size)), -first[x], x) for x in count), reverse=True)
+        out: list[tuple[str, float]] = []
+        for score, _, said in scored:
+            if not any(same(said, kept) for kept, _ in out):
+                out.append((said, round(score, 6)))
+        return out
+
+    def near(a: str, b: str) -> bool:
+        return abs((dt.date.fromisoformat(a) - dt.date.fromisoformat(b)).days) <= near_days
+
+    def alike(a: str, b: str) -> bool:
+        x, y = set(a.lower().split()), set(b.lower().split())
+        return bool(x & y)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                text = text or ""
+                tokens = annotator(text)
+                places: list[tuple[str, int]] = []
+                for t in tokens:
+                    if t["ner"] != "LOCATION":
+                        continue
+                    if places and t["index"] > 0 and tokens[t["index"] - 1]["ner"] == "LOCATION":
+                        said, at = places.pop()
+                        places.append((f"{said} {t['word']}", at))
+                    else:
+                        places.append((str(t["word"]), int(t["start"])))
+                dates = [(when.date().isoformat(), max(0, text.find(said))) for said, when in extract_dates(text, base)]
+                for question, found, same in (("where", places, alike), ("when", dates, near)):
+                    rows += [(doc, question, k, said, score) for k, (said, score) in enumerate(ranked(found, len(text), same))]
+            yield pd.DataFrame(rows, columns=["doc_id", "question", "rank", "answer", "score"])
+
+    return passages.select("doc_id", "text").mapInPandas(run, "doc_id string, question string, rank int, answer string, score double")

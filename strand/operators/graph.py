@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,36 +15,81 @@ from strand.plans.cut import materialize
 DIGITS = 9
 
 
-def blocked_edges(vectors: DataFrame, limit: float, block: int = 1024, alpha: float | None = None, span_col: str | None = None) -> DataFrame:
+def _blocks(vectors: DataFrame, block: int) -> DataFrame:
+    """Unit vectors (part, pos, vec, ts) with the part's time span and their block: ``block`` positions in a row."""
+    normal = vectors.select("part", "pos", unit(F.col("vec")).alias("vec"), F.col("ts").cast("double").alias("ts"))
+    stats = normal.groupBy("part").agg(F.min("pos").alias("first"), (F.max("ts") - F.min("ts")).alias("span"))
+    return normal.join(stats, "part").withColumn("own", F.floor((F.col("pos") - F.col("first")) / block).cast("int")).drop("first")
+
+
+def _block_pairs(dealt: DataFrame, reach: float | None) -> DataFrame:
+    """(part, own, i, j) for each block and pair of blocks i <= j that it is half of. ``reach``: only pairs whose times come
+    within that share of the part's span, told from the blocks' own first and last times."""
+    edges = dealt.groupBy("part", "own").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.max("span").alias("span"))
+    edges = materialize(edges, "blocks")  # a row a block, however large the part
+    other = edges.select("part", F.col("own").alias("j"), F.col("t0").alias("u0"), F.col("t1").alias("u1"))
+    pairs = edges.join(other, "part").filter("own <= j")
+    if reach is not None:
+        pairs = pairs.filter(F.greatest(F.col("u0") - F.col("t1"), F.col("t0") - F.col("u1")) <= reach * F.col("span"))
+    ends = F.array_distinct(F.array(F.col("own"), F.col("j")))
+    return pairs.select("part", F.col("own").alias("i"), "j", F.explode(ends).alias("own"))
+
+
+def _dealt(vectors: DataFrame, block: int, reach: float | None = None) -> DataFrame:
+    rows = _blocks(vectors, block)
+    return rows.join(_block_pairs(rows, reach), ["part", "own"])
+
+
+def _product(rows: pd.DataFrame, alpha: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the two blocks of a group and the distances between them."""
+    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    left, right = rows[rows["own"] == i].sort_values("pos"), rows[rows["own"] == j].sort_values("pos")
+    if not len(left) or not len(right):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0))
+    c = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
+    if alpha is not None and rows["span"].iloc[0] > 0:
+        c = c * np.exp(-alpha * np.abs(left["ts"].to_numpy()[:, None] - right["ts"].to_numpy()[None, :]) / rows["span"].iloc[0])
+    return left["pos"].to_numpy(), right["pos"].to_numpy(), np.round(1 - c, DIGITS)
+
+
+def blocked_edges(vectors: DataFrame, limit: float, block: int = 1024, alpha: float | None = None, reach: float | None = None) -> DataFrame:
     """Edges (part, src, dst, d) with distance below ``limit`` and src < dst, from (part, pos, vec, ts).
 
     Vectors are normalised once and dealt into blocks of ``block`` positions. Each pair of blocks of a
-    part is one group: two blocks of rows and one matrix product, whatever the part's size.
+    part is one group: two blocks of rows and one matrix product, whatever the part's size. ``reach`` leaves out
+    pairs of blocks that are further apart in time.
     """
-    normal = vectors.select("part", "pos", unit(F.col("vec")).alias("vec"), F.col("ts").cast("double").alias("ts"))
-    stats = normal.groupBy("part").agg(F.max("pos").alias("last"), F.min("pos").alias("first"), (F.max("ts") - F.min("ts")).alias("span"))
-    normal = normal.join(F.broadcast(stats) if alpha is None else stats, "part")
-    own = F.floor((F.col("pos") - F.col("first")) / block).cast("int")
-    blocks = F.floor((F.col("last") - F.col("first")) / block).cast("int")
-    dealt = normal.withColumns({"own": own, "blocks": blocks})
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks")), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(meets)).select("part", "pos", "vec", "ts", "span", "own", "pair.i", "pair.j")
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        left, right = rows[rows["own"] == i].sort_values("pos"), rows[rows["own"] == j].sort_values("pos")
-        out = {"part": [], "src": [], "dst": [], "d": []}
-        if len(left) and len(right):
-            c = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-            if alpha is not None and rows["span"].iloc[0] > 0:
-                c = c * np.exp(-alpha * np.abs(left["ts"].to_numpy()[:, None] - right["ts"].to_numpy()[None, :]) / rows["span"].iloc[0])
-            d = np.round(1 - c, DIGITS)
-            src, dst = left["pos"].to_numpy(), right["pos"].to_numpy()
-            a, b = np.nonzero((d < limit) & (src[:, None] < dst[None, :]))
-            out = {"part": np.full(len(a), rows["part"].iloc[0]), "src": src[a], "dst": dst[b], "d": d[a, b]}
-        return pd.DataFrame(out)
-
-    return dealt.groupBy("part", "i", "j").applyInPandas(pairs, "part int, src long, dst long, d double")
+        src, dst, d = _product(rows, alpha)
+        a, b = np.nonzero((d < limit) & (src[:, None] < dst[None, :]))
+        return pd.DataFrame({"part": np.full(len(a), rows["part"].iloc[0]), "src": src[a], "dst": dst[b], "d": d[a, b]})
+
+    return _dealt(vectors, block, reach).groupBy("part", "i", "j").applyInPandas(pairs, "part int, src long, dst long, d double")
+
+
+def nearest_neighbours(vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(part, src, dst, d, k): the ``k`` nearest of each row in its part, ties to the smaller position.
+
+    Of each pair of blocks only k rows a row go on, so what is shuffled and ranked is k times the number of blocks.
+    """
+
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, d = _product(rows, None)
+        out = []
+        for own, other, grid in ((left, right, d), (right, left, d.T)) if rows["i"].iloc[0] != rows["j"].iloc[0] else ((left, right, d),):
+            if not grid.size:
+                continue
+            grid = np.where(own[:, None] == other[None, :], np.inf, grid)
+            order = np.argsort(grid, axis=1, kind="stable")[:, :k]  # positions ascend, so equal distances keep their order
+            found = np.take_along_axis(grid, order, axis=1)
+            at, col = np.nonzero(np.isfinite(found))
+            out.append(pd.DataFrame({"part": rows["part"].iloc[0], "src": own[at], "dst": other[order[at, col]], "d": found[at, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"part": [], "src": [], "dst": [], "d": []})
+
+    found = _dealt(vectors, block).groupBy("part", "i", "j").applyInPandas(nearest, "part int, src long, dst long, d double")
+    rank = F.row_number().over(Window.partitionBy("part", "src").orderBy("d", "dst"))
+    return found.withColumn("k", rank).filter(F.col("k") <= k)
 
 
 def expression_edges(vectors: DataFrame, limit: float, alpha: float | None = None) -> DataFrame:
@@ -63,23 +106,13 @@ def expression_edges(vectors: DataFrame, limit: float, alpha: float | None = Non
     return joined.select(F.col("a.part").alias("part"), F.col("a.pos").alias("src"), F.col("b.pos").alias("dst"), d.alias("d")).filter(F.col("d") < limit)
 
 
-def time_pruned_edges(vectors: DataFrame, params: HyperParams = HyperParams()) -> DataFrame:
-    """Edges with time decay, from pairs that are near enough in time to reach the threshold at all.
+def time_pruned_edges(vectors: DataFrame, params: HyperParams = HyperParams(), block: int = 256) -> DataFrame:
+    """Edges with time decay, from pairs of blocks that are near enough in time to reach the threshold at all.
 
-    As cosine is at most 1, a pair under the threshold lies within -ln(1 - w) / alpha of the part's
-    span. Times are cut into slots of that width; a row meets its own slot and the next.
+    As cosine is at most 1, a pair under the threshold lies within -ln(1 - w) / alpha of the part's span. Where
+    positions follow time, as in chronological parts, most pairs of blocks are further apart and never meet.
     """
-    normal = vectors.select("part", "pos", unit(F.col("vec")).alias("vec"), F.col("ts").cast("double").alias("ts"))
-    spans = normal.groupBy("part").agg(F.min("ts").alias("t0"), (F.max("ts") - F.min("ts")).alias("span"))
-    width = F.greatest(F.col("span") * prune_bound(params.alpha, params.weight_threshold), F.lit(1e-9))
-    rows = normal.join(spans, "part").withColumn("slot", F.when(F.col("span") > 0, F.floor((F.col("ts") - F.col("t0")) / width)).otherwise(0).cast("long"))
-    left = rows.select("part", F.col("pos").alias("p"), F.col("vec").alias("v"), F.col("ts").alias("t"), "span", F.explode(F.array("slot", F.col("slot") + 1, F.col("slot") - 1)).alias("slot"))
-    right = rows.select("part", F.col("pos").alias("q"), F.col("vec").alias("u"), F.col("ts").alias("s"), "slot")
-    joined = left.join(right, ["part", "slot"]).filter("p < q")
-    decay = F.when(F.col("span") > 0, F.exp(-params.alpha * F.abs(F.col("t") - F.col("s")) / F.col("span"))).otherwise(1.0)
-    c = F.aggregate(F.zip_with("v", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    d = F.round(1 - c * decay, DIGITS)
-    return joined.select("part", F.col("p").alias("src"), F.col("q").alias("dst"), d.alias("d")).filter(F.col("d") < params.weight_threshold)
+    return blocked_edges(vectors, params.weight_threshold, block, params.alpha, prune_bound(params.alpha, params.weight_threshold))
 
 
 def nearest_parents(edges: DataFrame) -> DataFrame:
@@ -181,10 +214,29 @@ def passage_hops(incidence: DataFrame, pairs: DataFrame, limit: int = 5) -> Data
     return pairs.join(reached.select("src", F.col("at").alias("dst"), "hops"), ["src", "dst"], "left")
 
 
-def shared_entities(incidence: DataFrame) -> DataFrame:
-    """(src, dst, shared) for passages src < dst with a common entity, an equi-join on the entity."""
-    a, b = incidence.select(F.col("doc").alias("src"), "entity"), incidence.select(F.col("doc").alias("dst"), "entity")
-    return a.join(b, "entity").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+def shared_entities(incidence: DataFrame, salt: int = 8) -> DataFrame:
+    """(src, dst, shared) for passages src < dst with a common entity.
+
+    An equi-join on the entity, whose passages are dealt by a hash over ``salt`` keys on one side and met by all on
+    the other, so an entity of very many passages is that many tasks; shared entities are counted map-side.
+    """
+    deal = F.pmod(F.xxhash64("doc"), F.lit(salt)).cast("int")
+    a = incidence.select(F.col("doc").alias("src"), "entity", deal.alias("salt"))
+    b = incidence.select(F.col("doc").alias("dst"), "entity", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    return a.join(b, ["entity", "salt"]).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+
+
+def merged_threads(members: DataFrame) -> DataFrame:
+    """(thread_id, merged) of (thread_id, doc): threads that share a document, directly or over others, by their smallest id.
+
+    Neighbours in each document's list of threads suffice to connect it, so a document in very many threads gives
+    no more links than threads.
+    """
+    own = members.select("thread_id", "doc").distinct()
+    chain = F.lead("thread_id").over(Window.partitionBy("doc").orderBy("thread_id"))
+    links = own.withColumn("next", chain).filter("next is not null").select(F.col("thread_id").alias("src"), F.col("next").alias("dst"))
+    roots = components(links).select(F.col("node").alias("thread_id"), "root")
+    return own.select("thread_id").distinct().join(roots, "thread_id", "left").select("thread_id", F.coalesce("root", "thread_id").alias("merged"))
 
 
 def louvain(edges: DataFrame, rounds: int = 20) -> DataFrame:

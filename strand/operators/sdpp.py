@@ -152,25 +152,30 @@ def sample_sequences(model: Trellis, features: np.ndarray, k: int, rng: np.rando
     return out
 
 
+def part_model(items: pd.DataFrame, length: int, threshold: float = 0.2) -> tuple[np.ndarray, Trellis, np.ndarray]:
+    """Positions, model and features of one part's items (pos, vec): similarity steps forward in position, and the
+    weighted degree as quality of a start."""
+    items = items.sort_values("pos")
+    v = np.stack(items["vec"].to_numpy()).astype(float)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    sim = v @ v.T
+    sim[sim <= threshold] = 0
+    model = Trellis(np.triu(sim, 1), sim.sum(axis=0) + sim.diagonal(), np.ones(len(v)), length)
+    return items["pos"].to_numpy(), model, np.hstack([v[:, :16], np.full((len(v), 1), 0.5)])
+
+
 def k_sdpp(rows: DataFrame, epochs: int, k: int, length: int, threshold: float = 0.2) -> DataFrame:
     """(part, epoch, path, ord, pos): sampled sequences of items (part, pos, vec), every epoch a group with its own seed.
 
-    The model of a part (similarity steps forward in position, weighted degree as quality of a start) is
-    built and decomposed once a part; its epochs share it. Parts are bounded by their split size.
+    The model of a part is built and decomposed once a part; its epochs share it. Parts are bounded by their split size.
     """
 
     def one(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("pos")
-        v = np.stack(items["vec"].to_numpy()).astype(float)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-        sim = v @ v.T
-        sim[sim <= threshold] = 0
-        model = Trellis(np.triu(sim, 1), sim.sum(axis=0) + sim.diagonal(), np.ones(len(v)), length)
-        features = np.hstack([v[:, :16], np.full((len(v), 1), 0.5)])
+        pos, model, features = part_model(items, length, threshold)
         values, vectors = decompose(model.second_moment(features))
         out = []
-        part, pos = int(items["part"].iloc[0]), items["pos"].to_numpy()
+        part = int(items["part"].iloc[0])
         for epoch in range(epochs):
             rng = np.random.default_rng([part, epoch])
             for path, nodes in enumerate(sample_sequences(model, features, k, rng, values, vectors)):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strand.functions.vectors import cosine
+from strand.operators.graph import merged_threads
+from strand.plans.cut import materialize
 
 
 def thread_members(communities: DataFrame, items: DataFrame) -> DataFrame:
@@ -53,21 +54,23 @@ def first_wins(members: DataFrame) -> DataFrame:
 def first_wins_min_length(members: DataFrame, min_len: int) -> DataFrame:
     """First wins, where a thread that gets fewer than ``min_len`` new documents claims none.
 
-    Each claim depends on those before it, so threads are folded in order in one group; what it reads
-    is ids only.
+    Each claim depends on those of earlier threads that share a document, directly or over others, and on no
+    other: threads are folded in order within each such component, so components are independent tasks.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
-        for thread, own in rows.sort_values(["thread_id", "ord"]).groupby("thread_id", sort=True):
+        for _, own in rows.sort_values(["thread_id", "ord"]).groupby("thread_id", sort=True):
             new = own[~own["doc_id"].isin(taken)].drop_duplicates("doc_id")
             if len(new) >= max(min_len, 1):
                 taken.update(new["doc_id"])
                 out.append(new)
-        return pd.concat(out) if out else rows.head(0)
+        found = pd.concat(out) if out else rows.head(0)
+        return found[["thread_id", "ord", "doc_id"]]
 
-    ids = members.select("thread_id", "ord", "doc_id")
-    return ids.groupBy(F.lit(0).alias("all")).applyInPandas(lambda _, rows: fold(rows[["thread_id", "ord", "doc_id"]]), ids.schema)
+    ids = materialize(members.select("thread_id", "ord", "doc_id"), "claims")
+    merged = merged_threads(ids.select("thread_id", F.col("doc_id").alias("doc")))
+    return ids.join(merged, "thread_id").groupBy("merged").applyInPandas(fold, ids.schema)
 
 
 def thread_stats(members: DataFrame) -> DataFrame:
@@ -115,25 +118,47 @@ def tf_idf(terms: DataFrame, doc: str = "doc", term: str = "term", max_df: float
 
     Terms in more than max_df of all documents go; of the rest, the ``max_terms`` most frequent stay.
     """
-    counts = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
-    n = terms.select(doc).distinct().agg(F.count("*").alias("n"))
+    counts = materialize(terms.groupBy(doc, term).agg(F.count("*").alias("tf")), "term-counts")  # read three times, counted once
+    n = counts.agg(F.countDistinct(doc).alias("n"))
     df = counts.groupBy(term).agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n)).filter(F.col("df") <= max_df * F.col("n"))
     if max_terms is not None:
         df = df.orderBy(F.desc("total"), term).limit(max_terms)
     raw = counts.join(df, term).select(doc, term, (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
-    length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
-    return raw.join(length, doc).select(doc, term, (F.col("raw") / F.col("size")).alias("w"))
+    size = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
+    return raw.select(doc, term, (F.col("raw") / size).alias("w"))
 
 
-def sparse_cosine(weights: DataFrame, threshold: float = 0.0, include_self: bool = False, salt: int = 1) -> DataFrame:
-    """(src, dst, c) of rows (doc, term, w) of length 1: products summed by shared term, src before dst.
+def sparse_cosine(weights: DataFrame, threshold: float = 0.2, include_self: bool = False) -> DataFrame:
+    """(src, dst, c) of rows (doc, term, w) of length 1 with cosine (to 9 decimals) above ``threshold`` > 0, src before dst.
 
-    ``salt`` deals the postings of a frequent term over that many tasks on one side and repeats them on the other.
+    Each row's terms are ordered from common to rare. As long as the leading ones' weights have a length of at most the
+    threshold, two rows that share only such terms can't pass it: the rarest term that a pair shares is among
+    the others of both. Only those are joined, so the postings of common terms never meet; candidates are
+    then scored on their whole rows.
     """
-    a = weights.select(F.col("doc").alias("src"), "term", F.col("w").alias("x"), F.pmod(F.xxhash64("doc"), F.lit(salt)).alias("salt"))
-    b = weights.select(F.col("doc").alias("dst"), "term", F.col("w").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<long>")).alias("salt"))
-    pairs = a.join(b, ["term", "salt"]).filter(F.col("src") <= F.col("dst") if include_self else F.col("src") < F.col("dst"))
-    return pairs.groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("c")).filter(F.col("c") > threshold)
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc").orderBy(F.desc("df"), "term")
+    ranked = weights.join(df, "term").withColumn("lead", F.sum(F.col("w") * F.col("w")).over(order))
+    rare = materialize(ranked.filter(F.col("lead") > (threshold * (1 - 1e-9)) ** 2).select("doc", "term"), "cosine-rare")
+    a, b = rare.select(F.col("doc").alias("src"), "term"), rare.select(F.col("doc").alias("dst"), "term")
+    pairs = a.join(b, "term").filter("src < dst").select("src", "dst").distinct()
+    entry = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    rows = materialize(weights.groupBy("doc").agg(entry.alias("v")), "cosine-rows")
+    left, right = (rows.select(F.col("doc").alias(d), F.transform("v", lambda x: x["t"]).alias(f"{d}_t"), F.transform("v", lambda x: x["w"]).alias(f"{d}_w")) for d in ("src", "dst"))
+
+    @F.pandas_udf("double")
+    def dot(t: pd.Series, w: pd.Series, u: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(t))
+        for k, (terms, own, others, weight) in enumerate(zip(t, w, u, x, strict=True)):
+            _, i, j = np.intersect1d(terms, others, assume_unique=True, return_indices=True)
+            out[k] = own[i] @ weight[j]
+        return pd.Series(out)
+
+    c = F.round(dot("src_t", "src_w", "dst_t", "dst_w"), 9)
+    found = pairs.join(left, "src").join(right, "dst").select("src", "dst", c.alias("c"))
+    if include_self:
+        found = found.unionByName(weights.groupBy("doc").agg(F.round(F.sum(F.col("w") * F.col("w")), 9).alias("c")).select(F.col("doc").alias("src"), F.col("doc").alias("dst"), "c"))
+    return found.filter(F.col("c") > threshold)
 
 
 def keywords(terms: DataFrame, weights: DataFrame, top_n: int = 3, max_df: float = 0.9) -> DataFrame:

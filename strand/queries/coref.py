@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,20 +10,21 @@ from strand.plans.cut import materialize
 from strand.queries.tables import table
 from strand.registry import register
 
-#: Words of conversations as mentions: every third word of the first 40 of a turn, in word order.
-_M = r"""with u as (select conv_id as doc, turn as sent, role as speaker, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from conversations where conv_id < 30),
-t as (select doc, sent, speaker, unnest(w[1:40]) as word, unnest(range(0, least(len(w), 40))) as tok from u),
-m as (select doc, (row_number() over (partition by doc order by sent, tok) - 1)::int as i, sent, tok as start, tok + 1 as "end", speaker, word as root, word as text, lower(word) as content, count(*) over (partition by doc) as n from t where tok % 3 = 0)"""
+#: Words of conversations as mentions: capitalised words and pronouns, in word order.
+_IS_MENTION = f"(regexp_matches(word, '^[A-Z]') or lower(word) in ({', '.join(repr(p) for p in op.PRONOUNS)}))"
+_M = rf"""with u as (select conv_id as doc, turn as sent, role as speaker, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from conversations),
+t as (select doc, sent, speaker, unnest(w) as word, unnest(range(0, len(w))) as tok from u),
+m as (select doc, (row_number() over (partition by doc order by sent, tok) - 1)::int as i, sent, tok as start, tok + 1 as "end", speaker, word as root, word as text, lower(word) as content, count(*) over (partition by doc) as n from t where {_IS_MENTION})"""
 
 
 def tokens_of(spark, sf_dir):
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    u = table(spark, sf_dir, "conversations").filter("conv_id < 30").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.col("role").alias("speaker"), F.slice(words, 1, 40).alias("w"))
+    u = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.col("role").alias("speaker"), words.alias("w"))
     return u.select("doc", "sent", "speaker", F.posexplode("w").alias("tok", "word"))
 
 
 def mentions_of(spark, sf_dir):
-    rows = tokens_of(spark, sf_dir).filter("tok % 3 = 0").select(
+    rows = tokens_of(spark, sf_dir).filter(F.rlike("word", F.lit("^[A-Z]")) | F.lower("word").isin(*op.PRONOUNS)).select(
         "doc", "sent", F.col("tok").alias("start"), (F.col("tok") + 1).alias("end"), "speaker", F.col("word").alias("root"), F.col("word").alias("text"), F.array(F.lower("word")).alias("words")
     )
     return materialize(op.with_ordinals(rows, "sent", "start"), "mentions")
@@ -168,22 +168,30 @@ def cor10(spark, sf_dir):
     return op.most_representative(m.join(clusters_of(spark, sf_dir), ["doc", "i"]))
 
 
-@register("STR08_resolved_text", """with t as (select conv_id as doc, role as main, unnest(string_split(text, ' ')[1:10]) as word, unnest(range(0, least(len(string_split(text, ' ')), 10))) as tok from conversations where turn = 0)
-select doc, string_agg(case when tok % 4 = 0 then main else word end, ' ' order by tok) as text from t where tok % 4 <> 1 group by doc""")
+def _turn_words(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("doc"), "role", F.posexplode(F.split("text", " ")).alias("tok", "word"))
+
+
+_TURNS = "t as (select conv_id || '-' || turn as doc, role as main, unnest(string_split(text, ' ')) as word, unnest(range(0, len(string_split(text, ' ')))) as tok from conversations)"
+
+
+@register("STR08_resolved_text", f"with {_TURNS} select doc, string_agg(case when tok % 4 = 0 then main else word end, ' ' order by tok) as text from t where tok % 4 <> 1 group by doc")
 def str08(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc"), "role", F.posexplode(F.slice(F.split("text", " "), 1, 10)).alias("tok", "word"))
+    """Mentions of two words, every fourth word on, replaced by their main text."""
+    rows = _turn_words(spark, sf_dir)
     spans = rows.filter("tok % 4 = 0").select("doc", F.col("tok").alias("start"), (F.col("tok") + 2).alias("end"), F.col("role").alias("main"))
     return op.resolved_text(rows.select("doc", "tok", "word"), spans)
 
 
-@register("STR09_resolved_utterances")
+@register("STR09_resolved_utterances", f"with {_TURNS} select doc, string_agg(case when tok = 0 then main else word end, ' ' order by tok) as text from t group by doc")
 def str09(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc"), "role", F.posexplode(F.slice(F.split("text", " "), 1, 10)).alias("tok", "word"))
+    rows = _turn_words(spark, sf_dir)
     spans = rows.filter("tok = 0").select("doc", F.col("tok").alias("start"), (F.col("tok") + 1).alias("end"), F.col("role").alias("main"))
     return op.resolved_text(rows.select("doc", "tok", "word"), spans)
 
 
-@register("FLT11_mention_predicate", """select c_custkey from customer where (regexp_matches(tag, '^(NN|PRP|DT$)') or (dep in ('nsubj', 'dobj', 'iobj', 'pobj') and not regexp_matches(tag, '^(IN|CC|TO)'))) and lower(word) not in ('i', 'me', 'my', 'you', 'your')""".replace("from customer", "from (select c_custkey, ['NN', 'IN', 'PRP', 'VB', 'DT'][c_custkey % 5 + 1] as tag, ['nsubj', 'det', 'pobj'][c_custkey % 3 + 1] as dep, ['I', 'house', 'Your', 'it'][c_custkey % 4 + 1] as word from customer)"))
+@register("FLT11_mention_predicate", """select c_custkey from customer where (tag in ('NN', 'NNP', 'NNPS', 'NNS', 'PRP', 'PRP$', 'DT', 'IN') or (dep in ('nsubj', 'dobj', 'iobj', 'pobj') and tag not in ('CC', 'TO'))) and lower(word) not in ('i', 'me', 'my', 'you', 'your')""".replace("from customer", "from (select c_custkey, ['NN', 'IN', 'PRP', 'VB', 'DT'][c_custkey % 5 + 1] as tag, ['nsubj', 'det', 'pobj'][c_custkey % 3 + 1] as dep, ['I', 'house', 'Your', 'it'][c_custkey % 4 + 1] as word from customer)"))
 def flt11(spark, sf_dir):
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("c_custkey") % n).cast("int"))
     tag, dep, word = pick(["NN", "IN", "PRP", "VB", "DT"], 5), pick(["nsubj", "det", "pobj"], 3), pick(["I", "house", "Your", "it"], 4)
@@ -195,11 +203,12 @@ def flt12(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.split("p_type", " ")[0].isin("ECONOMY", "STANDARD")).select("p_partkey")
 
 
-@register("FLT14_cluster_blacklist")
+@register("FLT14_cluster_blacklist", f"""{_CLUSTERS}, c as (select cm.doc, cm.cluster, bool_or(lower(m.text) in ('the', 'a', 'of', 'it')) as barred from cm join m on m.doc = cm.doc and m.i = cm.i group by all)
+select doc, cluster, (row_number() over (partition by doc order by cluster) - 1)::int as key from c where not barred""")
 def flt14(spark, sf_dir):
     """Clusters without those that hold a listed text, numbered anew from 0."""
     m = mentions_of(spark, sf_dir).join(clusters_of(spark, sf_dir), ["doc", "i"])
-    barred = m.filter(F.lower("text").isin("the", "a", "of")).select("doc", "cluster").distinct()
+    barred = m.filter(F.lower("text").isin("the", "a", "of", "it")).select("doc", "cluster").distinct()
     left = m.join(barred, ["doc", "cluster"], "left_anti").select("doc", "cluster").distinct()
     return left.withColumn("key", F.row_number().over(Window.partitionBy("doc").orderBy("cluster")) - 1)
 
@@ -238,17 +247,17 @@ def win12(spark, sf_dir):
     return counts.withColumn("first", F.coalesce(F.sum("pairs").over(before), F.lit(0)))
 
 
-@register("WIN09_context_frames", """with t as (select conv_id as doc, string_split(text, ' ') as w from conversations where turn = 0), p as (select doc, w, unnest(range(1, len(w) + 1)) as i from t)
+@register("WIN09_context_frames", """with t as (select conv_id || '-' || turn as doc, string_split(text, ' ') as w from conversations), p as (select doc, w, unnest(range(1, len(w) + 1)) as i from t)
 select doc, (i - 1)::int as i, array_to_string(w[greatest(i - 5, 1):i - 1], ' ') as "left", array_to_string(w[i + 1:i + 5], ' ') as "right" from p""")
 def win09(spark, sf_dir):
     w = F.split("text", " ")
-    rows = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc"), w.alias("w"), F.posexplode(w).alias("i", "word"))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc"), w.alias("w"), F.posexplode(w).alias("i", "word"))
     left = F.slice("w", F.greatest(F.col("i") - 4, F.lit(1)), F.least(F.col("i"), F.lit(5)))
     right = F.slice("w", F.col("i") + 2, F.lit(5))
     return rows.select("doc", "i", F.array_join(left, " ").alias("left"), F.array_join(right, " ").alias("right"))
 
 
-@register("TRN01_training_rows")
+@register("TRN01_training_rows", f"{_FEAT} select doc, ant, men, (case when relaxed = 1 then 0.8 when max(relaxed) over (partition by doc, men) = 1 then 1.0 else 0.4 end)::double as cost from feat")
 def trn01(spark, sf_dir):
     """Pairs with features, gold label and cost: 1 for a wrong link, 0.4 for a false one, 0.8 for a missed."""
     f = features_of(spark, sf_dir)
@@ -294,17 +303,16 @@ def join20(spark, sf_dir):
     return part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().join(known, "word", "left_anti")
 
 
-@register("JOIN15_token_alignment", """with c as (select conv_id, turn, text, string_split(text, ' ') as w from conversations where turn < 2), a as (select conv_id, turn, unnest(w) as x, unnest(range(0, len(w))) as i from c),
+@register("JOIN15_token_alignment", """with c as (select conv_id, turn, text, string_split(text, ' ') as w from conversations), a as (select conv_id, turn, unnest(w) as x, unnest(range(0, len(w))) as i from c),
 o as (select *, coalesce(sum(length(x) + 1) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0) as b from a)
 select p.conv_id, p.turn, p.i::int as coarse, (q.i)::int as fine from o p join o q on p.conv_id = q.conv_id and p.turn = q.turn and p.i % 2 = 0 and q.b < p.b + length(p.x) + 3 and p.b < q.b + length(q.x)""")
 def join15(spark, sf_dir):
     """Tokens of two splits of a text aligned by overlapping character ranges."""
-    rows = table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "x"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "x"))
     before = Window.partitionBy("conv_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     o = materialize(rows.withColumn("b", F.coalesce(F.sum(F.length("x") + 1).over(before), F.lit(0))).withColumn("e", F.col("b") + F.length("x")), "offsets")
-    p = o.filter("i % 2 = 0").select("conv_id", "turn", F.col("i").alias("coarse"), F.col("b").alias("pb"), (F.col("e") + 3).alias("pe"))
-    q = o.select("conv_id", "turn", F.col("i").alias("fine"), "b", "e")
-    return p.join(q, ["conv_id", "turn"]).filter("b < pe and pb < e").select("conv_id", "turn", "coarse", "fine")
+    p = o.filter("i % 2 = 0").select("conv_id", "turn", F.col("i").alias("coarse"), "b", (F.col("e") + 3).alias("e"))
+    return op.overlapping(p, o.select("conv_id", "turn", F.col("i").alias("fine"), "b", "e"), ["conv_id", "turn"]).select("conv_id", "turn", "coarse", "fine")
 
 
 _BOX = "b as (select c_custkey as k, c_nationkey as g, c_custkey % 50 as x, c_custkey % 50 + c_custkey % 7 + 1 as y from customer)"
@@ -349,21 +357,13 @@ def agg14(spark, sf_dir):
     return rows.groupBy("label", "u", "k").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label", "k").agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@register("COR11_rare_words", "with e as (select vec_id % 37 as word, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as k from embeddings where vec_id < 200) select word, k::int as k, round(avg(x), 6) as x from e where k < 4 group by all")
+@register("COR11_rare_words", "with e as (select vec_id % 37 as word, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as k from embeddings) select word, k::int as k, round(avg(x), 6) as x from e group by all")
 def cor11(spark, sf_dir):
     """A rare word's vector: the mean of those of the words it is explained by."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select((F.col("vec_id") % 37).alias("word"), F.posexplode("embedding").alias("k", "x")).filter("k < 4")
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 37).alias("word"), F.posexplode("embedding").alias("k", "x"))
     return rows.groupBy("word", "k").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
 
 
-@register("COR05_mlp_scores")
-def cor05(spark, sf_dir):
-    rng = np.random.default_rng(0)
-    layers = [(rng.standard_normal((64, 16)) / 8, np.zeros(16)), (rng.standard_normal((16, 1)), np.zeros(1))]
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return op.mlp_scores(rows, layers).select("vec_id", F.round("score", 6).alias("score"))
-
-
 @register("COR12_mention_embedding")
 def cor12(spark, sf_dir):
     """Own, previous and next vector of an item with the mean of the five before it, joined into one."""
@@ -376,13 +376,13 @@ def cor12(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(joined).alias("dims"))
 
 
-_KR = """with r as (select l_orderkey as c, l_linenumber, min(l_partkey % 5) as k, min(l_suppkey % 4) as r from lineitem where l_orderkey < 2000 group by all),
+_KR = """with r as (select l_orderkey as c, l_linenumber, min(l_partkey % 5) as k, min(l_suppkey % 4) as r from lineitem group by all),
 kk as (select c, l_linenumber as m, k from r), rr as (select c, l_linenumber as m, r from r where l_linenumber % 4 <> 3),
 ov as (select kk.c, k, r, count(*) as s from kk join rr on kk.c = rr.c and kk.m = rr.m group by all), ks as (select c, k, count(*) as n from kk group by all), rs as (select c, r, count(*) as n from rr group by all)"""
 
 
 def key_response(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
+    rows = table(spark, sf_dir, "lineitem")
     rows = rows.groupBy(F.col("l_orderkey").cast("string").alias("case"), F.col("l_linenumber").alias("mention")).agg(F.min(F.col("l_partkey") % 5).alias("k"), F.min(F.col("l_suppkey") % 4).alias("r"))
     key = rows.select("case", "mention", F.col("k").alias("cluster"))
     return key, rows.filter("mention % 4 <> 3").select("case", "mention", F.col("r").alias("cluster"))
@@ -434,7 +434,11 @@ def agg19(spark, sf_dir):
     return both.agg(F.round(hit / F.sum("k"), 9).alias("recall"), F.round(hit / F.sum("r"), 9).alias("precision"))
 
 
-@register("COR07_coref_pipeline")
+_MAIN = f"""{_CLUSTERS}, g as (select cm.doc, cm.i, cm.cluster, m.text from cm join m on m.doc = cm.doc and m.i = cm.i),
+r as (select doc, cluster, arg_min(text, (-length(text), i)) as main from g group by all), answer as (select g.doc, g.i, g.cluster, r.main from g join r on r.doc = g.doc and r.cluster = g.cluster)"""
+
+
+@register("COR07_coref_pipeline", f"{_MAIN} select doc, i, cluster, main from answer")
 def cor07(spark, sf_dir):
     """Mentions, pairs, scores, decisions and clusters in one call: mentions with their cluster's main text."""
     m = mentions_of(spark, sf_dir).withColumn("type", F.lit("NOMINAL"))
@@ -443,7 +447,7 @@ def cor07(spark, sf_dir):
     return grouped.join(main, ["doc", "cluster"]).select("doc", "i", "cluster", "main")
 
 
-@register("SRC24_rest_answer")
+@register("SRC24_rest_answer", f"""{_MAIN} select doc, '[' || string_agg('{{"i":' || i || ',"cluster":' || cluster || ',"main":' || to_json(main) || '}}', ',' order by i) || ']' as answer from answer group by doc""")
 def src24(spark, sf_dir):
     """What a service would answer for each document, as JSON: mentions and clusters."""
     rows = cor07(spark, sf_dir)

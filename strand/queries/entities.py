@@ -40,18 +40,27 @@ def txt01(spark, sf_dir):
     return weights_of(spark, sf_dir).select("doc", "term", F.round("w", 6).alias("w"))
 
 
-@register("VEC06_sparse_cosine", f"{_TFIDF}, p as (select * from w where split_part(doc, '_', 1)::int < 60) select a.doc as src, b.doc as dst, round(sum(a.w * b.w), 6) as c from p a join p b on a.term = b.term and a.doc < b.doc group by all having round(sum(a.w * b.w), 6) > 0.2")
+#: Terms in more than a hundredth of all passages tell nothing about their likeness.
+_RARE = f"""{_T}, c as (select doc, term, count(*) as tf from tokens group by all), n as (select count(distinct doc) as n from tokens),
+df as (select term, count(*) as df from c group by term), r as (
+  select c.doc, c.term, tf * (ln((1 + n) / (1 + df)) + 1) as raw from c join df using (term), n where df <= 0.01 * n
+), s as (select doc, sqrt(sum(raw * raw)) as size from r group by doc), w as (select r.doc, term, raw / size as w from r join s on r.doc = s.doc)"""
+
+
+def rare_weights_of(spark, sf_dir):
+    return materialize(threads.tf_idf(tokens(spark, sf_dir), max_df=0.01), "tfidf-rare")
+
+
+@register("VEC06_sparse_cosine", f"{_RARE} select a.doc as src, b.doc as dst, round(sum(a.w * b.w), 6) as c from w a join w b on a.term = b.term and a.doc < b.doc group by all having round(sum(a.w * b.w), 9) > 0.2")
 def vec06(spark, sf_dir):
-    few = weights_of(spark, sf_dir).filter(F.substring_index("doc", "_", 1).cast("int") < 60)
-    return threads.sparse_cosine(few, salt=4).select("src", "dst", F.round("c", 6).alias("c")).filter("c > 0.2")
+    return threads.sparse_cosine(rare_weights_of(spark, sf_dir), 0.2).select("src", "dst", F.round("c", 6).alias("c"))
 
 
-_GRAPH = f"{_TFIDF}, p as (select * from w where split_part(doc, '_', 1)::int < 60), g as (select a.doc as src, b.doc as dst, round(sum(a.w * b.w), 9) as c from p a join p b on a.term = b.term and a.doc <= b.doc group by all having round(sum(a.w * b.w), 9) > 0.2)"
+_GRAPH = f"{_RARE}, g as (select a.doc as src, b.doc as dst, round(sum(a.w * b.w), 9) as c from w a join w b on a.term = b.term and a.doc <= b.doc group by all having round(sum(a.w * b.w), 9) > 0.2)"
 
 
 def _cosine_graph(spark, sf_dir):
-    few = weights_of(spark, sf_dir).filter(F.substring_index("doc", "_", 1).cast("int") < 60)
-    return threads.sparse_cosine(few, include_self=True).select("src", "dst", F.round("c", 9).alias("c")).filter("c > 0.2")
+    return threads.sparse_cosine(rare_weights_of(spark, sf_dir), 0.2, include_self=True)
 
 
 @register("GRF10_cosine_graph", f"{_GRAPH}, e as (select src as node, c from g union all select dst, c from g) select node, count(*)::bigint as degree, round(sum(c), 5) as weighted from e group by node")
@@ -66,12 +75,12 @@ def vec07(spark, sf_dir):
     return _cosine_graph(spark, sf_dir).select("src", "dst", F.when(F.col("c") != 0, 1).otherwise(0).alias("has"))
 
 
-_THREADED = "tt as (select (split_part(doc, '_', 1)::int % 40)::bigint as thread_id, doc, term from tokens where split_part(doc, '_', 1)::int < 400)"
+_THREADED = "tt as (select (split_part(doc, '_', 1)::int % 40)::bigint as thread_id, doc, term from tokens)"
 
 
 def _threaded(spark, sf_dir):
     source = F.substring_index("doc", "_", 1).cast("int")
-    return tokens(spark, sf_dir).filter(source < 400).select((source % 40).cast("long").alias("thread_id"), "doc", "term")
+    return tokens(spark, sf_dir).select((source % 40).cast("long").alias("thread_id"), "doc", "term")
 
 
 @register("AGG09_mean_vector", f"{_TFIDF}, {_THREADED}, d as (select distinct thread_id, doc from tt), tn as (select thread_id, count(*) as n from d group by 1) select d.thread_id, term, round(abs(sum(w) / max(n)), 6) as mean from d join w using (doc) join tn on tn.thread_id = d.thread_id group by d.thread_id, term")
@@ -115,9 +124,9 @@ def win10(spark, sf_dir):
     return keywords_of(spark, sf_dir).filter("rank = 1").select("thread_id", "word")
 
 
-@register("VEC09_keyword_score", f"{_KEYWORDS} select thread_id, word, round(score, 6) as score from sc where thread_id < 5")
+@register("VEC09_keyword_score", f"{_KEYWORDS} select thread_id, word, round(score, 6) as score from sc")
 def vec09(spark, sf_dir):
-    own = _threaded(spark, sf_dir).filter("thread_id < 5")
+    own = _threaded(spark, sf_dir)
     return threads.keywords(own, weights_of(spark, sf_dir), top_n=1 << 30).select("thread_id", "word", F.round("score", 6).alias("score"))
 
 
@@ -150,22 +159,24 @@ def join06(spark, sf_dir):
     return graph.shared_entities(bipartite(spark, sf_dir))
 
 
-_SPARSE = "incidence as (select distinct l_orderkey as doc, l_partkey % 997 as entity from lineitem where l_orderkey <= 300)"
+#: Passages are orders, an entity is what one supplier sells of one part; pairs are neighbouring orders of a customer.
+_SPARSE = "incidence as (select distinct l_orderkey as doc, l_partkey || '-' || l_suppkey as entity from lineitem)"
 _HOPS = f"""with recursive {_SPARSE}, adj as (select distinct a.doc as x, b.doc as y from incidence a join incidence b on a.entity = b.entity and a.doc <> b.doc),
-r as (select distinct doc as src, doc as nd, 0 as hops from incidence where doc <= 20 union select r.src, adj.y, hops + 1 from r join adj on adj.x = r.nd where hops < 3),
-best as (select src, nd, min(hops) as hops from r group by all), pairs as (select a.doc as src, b.doc as dst from (select distinct doc from incidence) a, (select distinct doc from incidence) b where a.doc <= 20 and a.doc < b.doc)"""
+r as (select distinct doc as src, doc as nd, 0 as hops from incidence union select r.src, adj.y, hops + 1 from r join adj on adj.x = r.nd where hops < 2),
+best as (select src, nd, min(hops) as hops from r group by all),
+pairs as (select * from (select o_orderkey as src, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as dst from orders where o_orderkey in (select doc from incidence)) where dst is not null)"""
 
 
 def _sparse(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 300")
-    return materialize(rows.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 997).alias("entity")).distinct(), "incidence")
+    rows = table(spark, sf_dir, "lineitem")
+    return materialize(rows.select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("entity")).distinct(), "incidence")
 
 
 def _hops(spark, sf_dir):
     incidence = _sparse(spark, sf_dir)
-    docs = incidence.select("doc").distinct()
-    pairs = docs.filter("doc <= 20").select(F.col("doc").alias("src"), F.lit(1).alias("k")).join(docs.select(F.col("doc").alias("dst"), F.lit(1).alias("k")), "k").filter("src < dst").drop("k")
-    return graph.passage_hops(incidence, pairs, 3)
+    orders = table(spark, sf_dir, "orders").join(incidence.select(F.col("doc").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return graph.passage_hops(incidence, orders.select(F.col("o_orderkey").alias("src"), after.alias("dst")).filter("dst is not null"), 2)
 
 
 @register("GRF03_bounded_paths", f"{_HOPS} select p.src, p.dst, b.hops::int as hops from pairs p left join best b on b.src = p.src and b.nd = p.dst")
@@ -173,40 +184,37 @@ def grf03(spark, sf_dir):
     return _hops(spark, sf_dir).select("src", "dst", "hops")
 
 
-@register("GRF04_path_levels", f"{_HOPS} select p.src, b.hops::int as hops, count(*)::bigint as docs from pairs p left join best b on b.src = p.src and b.nd = p.dst group by all")
+@register("GRF04_path_levels", f"{_HOPS} select b.hops::int as hops, count(*)::bigint as pairs from pairs p left join best b on b.src = p.src and b.nd = p.dst group by all")
 def grf04(spark, sf_dir):
-    return _hops(spark, sf_dir).groupBy("src", "hops").agg(F.count("*").alias("docs"))
+    return _hops(spark, sf_dir).groupBy("hops").agg(F.count("*").alias("pairs"))
 
 
-@register("SET05_frontier", f"{_HOPS} select src, nd as doc from best where hops = 2 except select src, nd from best where hops < 2")
+@register("SET05_frontier", f"{_HOPS} select src, count(*)::bigint as docs from (select src, nd from best where hops = 2 except select src, nd from best where hops < 2) group by src")
 def set05(spark, sf_dir):
+    """How many passages each reaches in two steps and not in fewer."""
     incidence = _sparse(spark, sf_dir)
     step = lambda f: f.join(incidence.select(F.col("doc").alias("at"), "entity"), "at").select("src", "entity").distinct().join(incidence, "entity").select("src", F.col("doc").alias("at")).distinct()
-    zero = incidence.filter("doc <= 20").select(F.col("doc").alias("src"), F.col("doc").alias("at")).distinct()
+    zero = incidence.select(F.col("doc").alias("src"), F.col("doc").alias("at")).distinct()
     one = materialize(zero.union(step(zero)).distinct(), "frontier")
-    return step(one).exceptAll(one).withColumnRenamed("at", "doc")
+    return step(one).join(one, ["src", "at"], "left_anti").groupBy("src").agg(F.count("*").alias("docs"))
 
 
-_MERGE = "tm as (select l_orderkey as thread_id, l_partkey as doc from lineitem where l_orderkey <= 120)"
+_MERGE = "tm as (select o_orderkey as thread_id, o_custkey as doc from orders)"
 
 
 @register("GRF09_merged_threads", f"""with recursive {_MERGE}, adj as (select distinct a.thread_id as x, b.thread_id as y from tm a join tm b on a.doc = b.doc and a.thread_id <> b.thread_id),
 r as (select distinct thread_id as t, thread_id as o from tm union select r.t, adj.y from r join adj on adj.x = r.o) select t as thread_id, min(o) as merged from r group by t""")
 def grf09(spark, sf_dir):
-    """Threads that share a document become one: components of the thread-document graph, documents numbered below 0."""
-    own = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 120").select(F.col("l_orderkey").alias("thread_id"), F.col("l_partkey").alias("doc")).distinct()
-    chain = F.lead("thread_id").over(Window.partitionBy("doc").orderBy("thread_id"))  # neighbours suffice to connect a document's threads
-    links = own.withColumn("next", chain).filter("next is not null").select(F.col("thread_id").alias("src"), F.col("next").alias("dst"))
-    roots = graph.components(links).select(F.col("node").alias("thread_id"), "root")
-    return own.select("thread_id").distinct().join(roots, "thread_id", "left").select("thread_id", F.coalesce("root", "thread_id").alias("merged"))
+    """Threads that share a document become one: components of links between neighbours in each document's list."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("thread_id"), F.col("o_custkey").alias("doc"))
+    return graph.merged_threads(own)
 
 
 @register("TXT02_lsa_gram")
 def txt02(spark, sf_dir):
     from strand.operators.embed import lsa
 
-    own = weights_of(spark, sf_dir).filter(F.substring_index("doc", "_", 1).cast("int") < 40)
-    return lsa(own, 10).select("doc", F.size("vec").alias("dims"), F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("norm"))
+    return lsa(weights_of(spark, sf_dir), 10).select("doc", F.size("vec").alias("dims"), F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("norm"))
 
 
 @register("TXT03_hashed_embeddings")
@@ -220,8 +228,7 @@ def txt03(spark, sf_dir):
 def txt04(spark, sf_dir):
     from strand.operators.embed import vectorise
 
-    rows = tokens(spark, sf_dir).filter(F.substring_index("doc", "_", 1).cast("int") < 40)
-    return vectorise(rows, dims=8).select("doc", F.size("vec").alias("dims"))
+    return vectorise(tokens(spark, sf_dir), dims=8).select("doc", F.size("vec").alias("dims"))
 
 
 @register("TXT05_vectorise_answers")

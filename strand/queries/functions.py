@@ -194,7 +194,7 @@ def vec04(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(w, 9).alias("w"))
 
 
-@register("VEC05_hac_affinities", f"""with {ITEMS}, t as (select max(ts) - min(ts) as span from items), s as (select a.pos as src, b.pos as dst, list_cosine_similarity(a.vec, b.vec) * exp(-10.0 * abs(a.ts - b.ts) / span) as s from items a join items b on a.pos < b.pos and b.pos < 150, t)
+@register("VEC05_hac_affinities", f"""with {ITEMS}, t as (select max(ts) - min(ts) as span from items), s as (select a.pos as src, b.pos as dst, list_cosine_similarity(a.vec, b.vec) * exp(-10.0 * abs(a.ts - b.ts) / span) as s from items a join items b on a.pos < b.pos, t)
 select src, dst, round(case when 1 - s > 0.7 then 1.0 else 1 - s * 0.5 * exp(-0.1 * 5 / 5) end, 6) as d from s""")
 def vec05(spark, sf_dir):
     from strand.operators.cluster import hac_distance
@@ -202,8 +202,7 @@ def vec05(spark, sf_dir):
 
     rows = items(spark, sf_dir)
     span = rows.agg((F.max("ts") - F.min("ts")).alias("span")).first()["span"]
-    own = rows.filter("pos < 150")
-    pairs = expression_edges(own, 10.0)
+    pairs = expression_edges(rows, 10.0)
     decay = F.exp(-10.0 * (F.col("dst") - F.col("src")) * 86400.0 / span)
     s = (1 - F.col("d")) * decay
     return pairs.select("src", "dst", F.round(hac_distance(s, F.lit(0), F.lit(None).cast("int"), 0.7, 0.1, 5, 5), 6).alias("d"))

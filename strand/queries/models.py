@@ -6,16 +6,18 @@ import datetime as dt
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strand.operators import cluster, fivew, graph, sdpp, threads
 from strand.params import HyperParams
 from strand.plans import runs
 from strand.plans.cut import materialize, shared_dir
-from strand.queries.tables import items, table
+from strand.queries.tables import ITEMS, PART_SIZE, items, parted, table
 from strand.queries.tables import passages as passages_of
 from strand.registry import register
 from strand.sources import documents as D
+from strand.sources import stored as S
 from strand.streaming import jobs
 
 P = HyperParams()
@@ -42,9 +44,14 @@ def clu02(spark, sf_dir):
     return threads.thread_members(labels, items(spark, sf_dir)).select("thread_id", "ord", "doc_id", "created")
 
 
-@register("CLU03_seqint_run")
+_PARTED = f"""{ITEMS}, parted as (select (pos // {PART_SIZE})::int as part, pos, vec from items)"""
+
+
+@register("CLU03_seqint_run", f"with {_PARTED} select part, ((count(*) // 5) * 1)::bigint as threads, count(*)::bigint as members from parted group by part")
 def clu03(spark, sf_dir):
-    return runs.seqint(items(spark, sf_dir).filter("pos < 400"), P, clusters_per_item=5).select("thread_id", "length", F.round("sim", 6).alias("sim"))
+    """Threads by ward linkage, size // 5 of them in each part; every item is in one."""
+    found = runs.seqint(parted(spark, sf_dir), P, clusters_per_item=5)
+    return found.groupBy("part").agg(F.count("*").alias("threads"), F.sum("length").alias("members"))
 
 
 @register("CLU04_hint_run")
@@ -56,60 +63,97 @@ def clu04(spark, sf_dir):
 
 @register("SMP01_k_sdpp")
 def smp01(spark, sf_dir):
-    return sdpp.k_sdpp(items(spark, sf_dir).filter("pos < 200"), 3, 4, 3)
+    return sdpp.k_sdpp(parted(spark, sf_dir), 3, 4, 3)
+
 
+#: What any sample of sequences must be, whatever was drawn: three epochs of up to four sequences of three items, forward in position.
+_SAMPLED = f"with {_PARTED} select distinct part, 3::bigint as length, true as forward from parted"
 
-@register("SMP05_sampled_threads")
+
+@register("SMP05_sampled_threads", _SAMPLED)
 def smp05(spark, sf_dir):
-    return sdpp.distinct_paths(sdpp.k_sdpp(items(spark, sf_dir).filter("pos < 200"), 3, 4, 3)).select("part", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"))
+    paths = sdpp.distinct_paths(sdpp.k_sdpp(parted(spark, sf_dir), 3, 4, 3))
+    forward = F.forall(F.sequence(F.lit(1), F.size("nodes") - 1), lambda k: F.get("nodes", k) > F.get("nodes", k - 1))
+    return paths.groupBy("part").agg(F.max(F.size("nodes")).cast("long").alias("length"), F.min(forward).alias("forward"))
 
 
-@register("SMP06_sampled_evaluation")
+@register("SMP06_sampled_evaluation", f"with {_PARTED} select distinct part, 3::bigint as length, true as scored from parted")
 def smp06(spark, sf_dir):
-    own = items(spark, sf_dir).filter("pos < 200")
-    return runs.dpp(own, epochs=3, k=4, length=3).agg(F.count("*").alias("threads"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+    found = runs.dpp(parted(spark, sf_dir), epochs=3, k=4, length=3)
+    return found.groupBy("part").agg(F.max("length").alias("length"), F.min(F.col("sim").between(-1, 1)).alias("scored"))
+
 
+def _by_part(spark, sf_dir, one, schema: str):
+    return parted(spark, sf_dir).select("part", "pos", "vec").groupBy("part").applyInPandas(one, schema)
 
-@register("SMP02_belief_propagation")
+
+@register("SMP02_belief_propagation", f"""with {_PARTED}, s as (
+  select a.part, a.pos as i, b.pos as j, list_cosine_similarity(a.vec, b.vec) as c from parted a join parted b on a.part = b.part
+), f as (select part, i, sum(case when c > 0.2 then c else 0 end) + max(case when i = j and c > 0.2 then c else 0 end) as first from s group by all)
+select s.part, round(sum(case when s.j > s.i and c > 0.2 then f.first * c else 0 end), 3) as z, 2.0::double as marginal_sum from s join f on f.part = s.part and f.i = s.i group by s.part""")
 def smp02(spark, sf_dir):
-    """Partition sum and marginals of the three-node example, beside sums over all its sequences."""
-    out = []
-    for length in (2, 3):
-        m = sdpp.Trellis(np.array([[0, 0.5, 0.4], [0, 0, 0.3], [0, 0, 0]]), np.array([1.0, 2, 3]), np.ones(3), length)
-        out.append((length, round(m.partition(), 9), float(np.round(m.marginals().sum(), 9))))
-    return spark.createDataFrame(out, "length int, z double, marginal_sum double")
+    """Partition sum of all sequences of two items and the sum of their marginals, of each part's model."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        _, model, _ = sdpp.part_model(rows, 2)
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "z": [model.partition()], "marginal_sum": [float(model.marginals().sum())]})
+
+    return _by_part(spark, sf_dir, one, "part int, z double, marginal_sum double").select("part", F.round("z", 3).alias("z"), F.round("marginal_sum", 9).alias("marginal_sum"))
 
 
-@register("SMP03_dpp_sampling")
+@register("SMP03_dpp_sampling", f"with {_PARTED} select distinct part, form, 8::bigint as items, 8::bigint as own from parted, (values ('primal'), ('dual')) f(form)")
 def smp03(spark, sf_dir):
-    v = np.array(items(spark, sf_dir).filter("pos < 60").orderBy("pos").select("vec").toPandas()["vec"].tolist())
-    rng = np.random.default_rng(0)
-    values, vectors = sdpp.decompose(v @ v.T)
-    rows = [("primal", int(x)) for x in sdpp.sample_dpp(values, vectors, rng, 8)] + [("dual", int(x)) for x in sdpp.sample_dual(v, rng, 8)]
-    return spark.createDataFrame(rows, "form string, pos long")
+    """Subsets of eight items of each part by the kernel and by its dual: as many different items, all of the part."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        part, v = int(rows["part"].iloc[0]), np.stack(rows["vec"].to_numpy()).astype(float)
+        rng = np.random.default_rng(part)
+        values, vectors = sdpp.decompose(v @ v.T)
+        chosen = [("primal", x) for x in sdpp.sample_dpp(values, vectors, rng, 8)] + [("dual", x) for x in sdpp.sample_dual(v, rng, 8)]
+        return pd.DataFrame({"part": part, "form": [f for f, _ in chosen], "pos": rows["pos"].to_numpy()[[x for _, x in chosen]]})
+
+    found = _by_part(spark, sf_dir, one, "part int, form string, pos long")
+    own = (F.floor(F.col("pos") / PART_SIZE) == F.col("part")).cast("long")
+    return found.groupBy("part", "form").agg(F.countDistinct("pos").alias("items"), F.sum(own).alias("own"))
 
 
-@register("SMP04_sample_k")
+@register("SMP04_sample_k", f"with {_PARTED} select distinct part, 4::bigint as size from parted")
 def smp04(spark, sf_dir):
-    rng = np.random.default_rng(0)
-    counts = np.zeros(4)
-    for _ in range(2000):
-        counts[sdpp.sample_k(np.array([1.0, 2, 3, 4]), 2, rng)] += 1
-    return spark.createDataFrame([(i, float(c / 2000)) for i, c in enumerate(counts)], "i int, share double")
+    """Eigenvectors chosen for samples of four, of each part's kernel: four different ones."""
 
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["vec"].to_numpy()).astype(float)
+        part = int(rows["part"].iloc[0])
+        chosen = sdpp.sample_k(sdpp.decompose(v.T @ v)[0], 4, np.random.default_rng(part))
+        return pd.DataFrame({"part": [part], "size": [len(set(chosen.tolist()))]})
 
-@register("VEC12_symmetric_polynomials", "select k::int as k, e::double as e from (values (1, 10), (2, 35), (3, 50)) t(k, e)")
+    return _by_part(spark, sf_dir, one, "part int, size long")
+
+
+@register("VEC12_symmetric_polynomials", """with x as (select l_orderkey as k, (l_quantity::int % 5)::double as x from lineitem), p as (select k, sum(x) as p1, sum(x * x) as p2, sum(x * x * x) as p3 from x group by k)
+select k as l_orderkey, p1 as e1, (p1 * p1 - p2) / 2 as e2, round((p1 * p1 * p1 - 3 * p1 * p2 + 2 * p3) / 6, 6) as e3 from p""")
 def vec12(spark, sf_dir):
-    e = sdpp.elementary_symmetric(np.array([1.0, 2, 3, 4]), 3)
-    return spark.createDataFrame([(k, float(e[k, -1])) for k in (1, 2, 3)], "k int, e double")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_quantity").cast("int") % 5).cast("double")).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def sums(values: pd.Series) -> pd.Series:
+        return pd.Series([sdpp.elementary_symmetric(np.asarray(x), 3)[1:, -1].tolist() for x in values])
 
+    return rows.select("l_orderkey", sums("x").alias("e")).select("l_orderkey", *[F.round(F.get("e", F.lit(k)), 6).alias(f"e{k + 1}") for k in range(3)])
 
-@register("VEC13_kernel_decomposition")
+
+@register("VEC13_kernel_decomposition", f"with {_PARTED} select part, max(len(vec))::int as dims, round(sum(list_sum(list_transform(vec, lambda x: x * x))), 3) as trace, true as exact from parted group by part")
 def vec13(spark, sf_dir):
-    v = np.array(items(spark, sf_dir).filter("pos < 100").orderBy("pos").select("vec").toPandas()["vec"].tolist())
-    values, vectors = sdpp.decompose(v.T @ v)
-    error = float(np.abs(vectors * values @ vectors.T - v.T @ v).max())
-    return spark.createDataFrame([(len(values), round(float(values.sum()), 4), error < 1e-8)], "dims int, trace double, exact boolean")
+    """The dual kernel of each part: its dims, the sum of its eigenvalues, and whether they give the kernel back."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["vec"].to_numpy()).astype(float)
+        values, vectors = sdpp.decompose(v.T @ v)
+        error = float(np.abs(vectors * values @ vectors.T - v.T @ v).max())
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "dims": [len(values)], "trace": [round(float(values.sum()), 3)], "exact": [error < 1e-8]})
+
+    return _by_part(spark, sf_dir, one, "part int, dims int, trace double, exact boolean")
 
 
 def _docx(spark):
@@ -122,13 +166,35 @@ def _docx(spark):
     return spark.createDataFrame(made, "doc_id string, content binary")
 
 
-@register("SRC01_docx_scan")
+@register("SRC01_docx_scan", "select n_name || '#w' as doc_id, 2::bigint as paragraphs from nation")
 def src01(spark, sf_dir):
-    """Pages as small files of a folder, found by pattern and read as binary."""
+    """Word files in folders below one, a file of metadata beside each: the former are found and read, the latter left out."""
     path = _folder(spark, "scan")
-    table(spark, sf_dir, "pages").limit(20).select("html").repartition(3).write.text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    return files.select((F.col("length") > 0).alias("filled"))
+    for r in table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect():  # 25 rows, as files
+        for end in ("", "meta"):
+            S.put_bytes(spark, f"{path}/{r['n_regionkey']}/{r['n_name']}#wc{end}.docx", D.make_docx([r["n_name"], f"Region {r['n_regionkey']}"]))
+    files = D.read_docx(spark, path, "*#wc*.docx", "*#wcmeta.docx").withColumn("doc_id", F.regexp_replace("doc_id", "c$", ""))
+    return D.docx_paragraphs(files).groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+
+
+@register("SRC19_cached_download", "select n_nationkey, n_name from nation")
+def src19(spark, sf_dir):
+    """A file by its address from the cache: the second call finds the copy of the first, a changed file is another entry."""
+    path, cache = _folder(spark, "remote"), _folder(spark, "cache")
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("value"))
+    S.put_bytes(spark, f"{path}/names.txt", b"0|OLD\n")
+    old = S.cached_path(spark, f"{path}/names.txt", cache)
+    S.put_bytes(spark, f"{path}/names.txt", "\n".join(r["value"] for r in rows.collect()).encode())  # 25 rows, as a file
+    found = S.cached_path(spark, f"{path}/names.txt", cache)
+    if found == old or S.cached_path(spark, f"{path}/names.txt", cache) != found or S.entry_source(spark, found)[0] != f"{path}/names.txt":
+        raise RuntimeError("the cache gave another copy than the address and its version name")
+    parts = F.split("value", r"\|")
+    return spark.read.text(found).select(parts[0].cast("int").alias("n_nationkey"), parts[1].alias("n_name"))
+
+
+@register("SRC22_mock_data", "select doc_id, date '2000-01-01' + (('0x' || substr(md5(doc_id), 1, 8))::bigint % 3650)::int as created, (('0x' || substr(md5(doc_id), 9, 8))::bigint % 2 = 0)::int as label from (select doc_id::varchar as doc_id from documents)")
+def src22(spark, sf_dir):
+    return S.mock_labels(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id")))
 
 
 @register("SRC02_docx_paragraphs")
@@ -155,11 +221,11 @@ def src05(spark, sf_dir):
 
 def _conll(spark, sf_dir):
     """Conversations as corpus tokens: every fifth word an entity named by its length."""
-    words = table(spark, sf_dir, "conversations").filter("conv_id < 20").select(F.col("conv_id").cast("string").alias("doc"), F.lit("000").alias("part"), F.col("turn").cast("int").alias("utt"), F.posexplode(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 12)).alias("tok", "word"))
+    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.lit("000").alias("part"), F.col("turn").cast("int").alias("utt"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("tok", "word"))
     return words.withColumn("coref", F.when(F.col("tok") % 5 == 0, F.concat(F.lit("("), F.length("word").cast("string"), F.lit(")"))).otherwise("-"))
 
 
-@register("SRC15_conll_scan", """select conv_id::varchar as doc, turn::int as utt, count(*)::bigint as tokens from (select conv_id, turn, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:12]) as w from conversations where conv_id < 20) group by all""")
+@register("SRC15_conll_scan", """select conv_id::varchar as doc, turn::int as utt, count(*)::bigint as tokens from (select conv_id, turn, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as w from conversations) group by all""")
 def src15(spark, sf_dir):
     path = _folder(spark, "conll")
     D.write_conll(_conll(spark, sf_dir), path)
@@ -189,10 +255,10 @@ def src18(spark, sf_dir):
     return spark.read.parquet(path).select("doc", "ant", "men", "exact")
 
 
-@register("SRC23_embedding_file", "select vec_id::varchar as word, 64::int as dims from embeddings where vec_id < 100")
+@register("SRC23_embedding_file", "select vec_id::varchar as word, 64::int as dims from embeddings")
 def src23(spark, sf_dir):
     path = _folder(spark, "vectors")
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 100")
+    rows = table(spark, sf_dir, "embeddings")
     rows.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")).write.text(path)
     return D.read_embeddings(spark, path).select("word", F.size("vec").alias("dims"))
 
@@ -204,6 +270,48 @@ def src25(spark, sf_dir):
     return agg02(spark, sf_dir).withColumn("run", F.lit("first wins")).unionByName(agg20(spark, sf_dir).withColumn("run", F.lit("all threads")))
 
 
+_MLP = """with e as (select vec_id, embedding::double[] as x from embeddings), h as (
+  select vec_id, list_transform(range(0, 16), lambda j: greatest(0.0, (j % 3 - 1) / 4.0 + list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * ((i * 7 + j * 3) % 11 - 5) / 8.0)))) as h from e
+) select vec_id, round(0.5 + list_sum(list_transform(range(0, 16), lambda j: h[j + 1] * ((j * 5) % 7 - 3) / 4.0)), 4) as score from h"""
+
+
+def _layers():
+    i, j = np.arange(64)[:, None], np.arange(16)[None, :]
+    return [(((i * 7 + j * 3) % 11 - 5) / 8, (np.arange(16) % 3 - 1) / 4), ((((np.arange(16) * 5) % 7 - 3) / 4)[:, None], np.array([0.5]))]
+
+
+@register("COR05_mlp_scores", _MLP)
+def cor05(spark, sf_dir):
+    from strand.operators import coref
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return coref.mlp_scores(rows, _layers()).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@register("SRC21_model_files", _MLP)
+def src21(spark, sf_dir):
+    """The scorer and its vectors written, read back and used: the scores of the model that never was a file."""
+    from strand.operators import coref
+
+    path = _folder(spark, "model")
+    S.save_model(spark, path, _layers(), table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), {"greedyness": 0.5})
+    layers, vectors, _ = S.load_model(spark, path)
+    return coref.mlp_scores(vectors, layers).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@register("TRN03_training", "select stage, 4::bigint as epochs, true as falls from (values ('all_pairs'), ('top_pairs'), ('ranking')) s(stage)")
+def trn03(spark, sf_dir):
+    """Three stages of training on all pairs of conversations; within each the loss ends below its start."""
+    from strand.operators import training
+    from strand.queries.coref import features_of
+
+    names = ("same_speaker", "exact", "mention_bin", "sent_bin")
+    rows = materialize(training.training_rows(features_of(spark, sf_dir).withColumn("gold", F.col("relaxed")), names), "training-rows")
+    found = training.train_scorer(rows, names, {"all_pairs": 4, "top_pairs": 4, "ranking": 4})
+    seen = spark.createDataFrame(found.history, "stage string, epoch int, loss double, rate double")
+    return seen.groupBy("stage").agg(F.count("*").alias("epochs"), (F.min("loss") <= F.min_by("loss", "epoch")).alias("falls"))
+
+
 @register("TRN05_corpus_features")
 def trn05(spark, sf_dir):
     """Corpus tokens to mentions to pairs to labelled features, one composition."""
@@ -219,7 +327,7 @@ def trn05(spark, sf_dir):
 
 
 def _some(spark, sf_dir):
-    return passages_of(spark, sf_dir).filter("source_id < 100").select("doc_id", "text")
+    return passages_of(spark, sf_dir).select("doc_id", "text")
 
 
 @register("NLP01_answer_run")
@@ -244,9 +352,24 @@ def nlp03(spark, sf_dir):
     return found.select([F.sum((F.col(q) != "").cast("long")).alias(q) for q in fivew.QUESTIONS])
 
 
-@register("NLP04_environment_extractor")
+@register("NLP04_environment_extractor", "select o_orderkey::varchar as doc_id, question, 0 as rank, case question when 'where' then n_name else o_orderdate::date::varchar end as answer from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey, (values ('where'), ('when')) q(question)")
 def nlp04(spark, sf_dir):
-    return fivew.entity_rows(fivew.answers(_some(spark, sf_dir), BASE)).filter("question = 'where'")
+    """Where and when of sentences that name a place twice and two neighbouring days: one answer each."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    day = F.to_date("o_orderdate")
+    text = F.format_string("It was ordered on %s in %s and on %s it was paid in %s too.", F.date_format(day, "d MMMM yyyy"), F.col("n_name"), F.date_format(F.date_add(day, 1), "d MMMM yyyy"), F.col("n_name"))
+    return fivew.environment(rows.select(F.col("o_orderkey").cast("string").alias("doc_id"), text.alias("text")), BASE).drop("score")
+
+
+@register("NLP06_constituents", "select conv_id || '-' || turn as doc_id, true as whole from conversations where text is not null")
+def nlp06(spark, sf_dir):
+    """A tree for each sentence; the trees' leaves are the text's tokens, in order."""
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
+    trees = fivew.constituents(rows)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("sent", "tree"))), lambda x: x["tree"])
+    leaves = F.flatten(F.transform(order, lambda t: F.regexp_extract_all(t, F.lit(r"\([^ ()]+ ([^ ()]+)\)"), F.lit(1))))
+    words = fivew.token_rows(rows).select("doc_id", F.transform("tokens", lambda t: F.when(t["word"] == "(", "-LRB-").when(t["word"] == ")", "-RRB-").otherwise(t["word"])).alias("words"))
+    return trees.groupBy("doc_id").agg(leaves.alias("leaves")).join(words, "doc_id").select("doc_id", (F.col("leaves") == F.col("words")).alias("whole"))
 
 
 @register("NLP05_token_builder")
@@ -278,14 +401,14 @@ def stm01(spark, sf_dir):
 @register("STM02_growing_graph")
 def stm02(spark, sf_dir):
     out = _folder(spark, "growing")
-    jobs.growing_graph(_stream(spark, items(spark, sf_dir).filter("pos < 200").select("part", "pos", "vec"), "items"), out, _folder(spark, "offsets")).awaitTermination()
+    jobs.growing_graph(_stream(spark, items(spark, sf_dir).select("part", "pos", "vec"), "items"), out, _folder(spark, "offsets")).awaitTermination()
     return jobs.communities(spark, out).select("node", "comm")
 
 
 @register("STM03_dialogue_stream")
 def stm03(spark, sf_dir):
     """Utterances of a stream resolved against the turns kept in state; one file, so the order is the turns'."""
-    rows = table(spark, sf_dir, "conversations").filter("conv_id < 20").select("conv_id", "turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     out = _folder(spark, "dialogue")
     query = jobs.resolve_dialogue(_stream(spark, rows, "utterances", 1)).writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "offsets")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -295,4 +418,4 @@ def stm03(spark, sf_dir):
 @register("COR09_dialogue_resolution")
 def cor09(spark, sf_dir):
     """The same by one batch call."""
-    return jobs.resolve_dialogue(table(spark, sf_dir, "conversations").filter("conv_id < 20").select("conv_id", "turn", "text"))
+    return jobs.resolve_dialogue(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))

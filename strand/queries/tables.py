@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strand.operators.passages import split_passages
+from strand.operators.passages import split_passages, with_part
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Items of a part where a query has several.
+PART_SIZE = 250
+
+
+def parted(spark: SparkSession, sf_dir: str, size: int = PART_SIZE) -> DataFrame:
+    """The items in parts of ``size`` positions, as a collection is split before threads are looked for."""
+    return with_part(items(spark, sf_dir), size)
+
+
 ITEMS = """items as (
   select 0 as part, vec_id as pos, vec_id::varchar as doc_id, timestamp '2000-01-01' + to_days(vec_id::int) as created,
     vec_id * 86400.0::double as ts, embedding::double[] as vec, label from embeddings
@@ -98,8 +107,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as passages and parts as their entities: (doc, entity), distinct."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 400")
-    return rows.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 50).alias("entity")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity")).distinct()
 
 
-BIPARTITE = "incidence as (select distinct l_orderkey as doc, l_partkey % 50 as entity from lineitem where l_orderkey <= 400)"
+BIPARTITE = "incidence as (select distinct l_orderkey as doc, l_partkey as entity from lineitem)"

@@ -27,9 +27,9 @@ def join04(spark, sf_dir):
     return graph.blocked_edges(items(spark, sf_dir), P.weight_threshold).select("src", "dst", F.round("d", 6).alias("d"))
 
 
-@register("JOIN04_similarity_join_expression", _PLAIN + " select src, dst, round(d, 6) as d from edges where src < 300 and dst < 300")
+@register("JOIN04_similarity_join_expression", _PLAIN + " select src, dst, round(d, 6) as d from edges")
 def join04_expression(spark, sf_dir):
-    return graph.expression_edges(items(spark, sf_dir).filter("pos < 300"), P.weight_threshold).select("src", "dst", F.round("d", 6).alias("d"))
+    return graph.expression_edges(items(spark, sf_dir), P.weight_threshold).select("src", "dst", F.round("d", 6).alias("d"))
 
 
 @register("JOIN04_similarity_join_decayed", _DECAYED + " select src, dst, round(d, 6) as d from edges")
@@ -66,13 +66,11 @@ def flt06(spark, sf_dir):
 
 @register(
     "FLT07_clipped_similarity",
-    f"with {ITEMS} select a.pos as src, b.pos as dst, case when 1 - list_cosine_similarity(a.vec, b.vec) > 0.7 then 0 else round(list_cosine_similarity(a.vec, b.vec), 6) end::double as s from items a join items b on a.pos < b.pos and b.pos < 200",
+    f"with {ITEMS}, s as (select a.pos as src, b.pos as dst, round(1 - list_cosine_similarity(a.vec, b.vec), 9) as d from items a join items b on a.pos < b.pos) select src, dst, round(1 - d, 6) as s from s where d <= 0.7",
 )
 def flt07(spark, sf_dir):
-    rows = items(spark, sf_dir).filter("pos < 200")
-    pairs = graph.blocked_edges(rows, 10.0)
-    s = 1 - F.col("d")
-    return pairs.select("src", "dst", F.when(1 - s > 0.7, 0.0).otherwise(F.round(s, 6)).alias("s"))
+    """Similarities below 0.3 are clipped to 0, and what is 0 isn't stored."""
+    return graph.blocked_edges(items(spark, sf_dir), 0.7 + 1e-10).select("src", "dst", F.round(1 - F.col("d"), 6).alias("s"))
 
 
 @register("AGG04_time_range", f"with {ITEMS} select part, max(ts) - min(ts) as span from items group by part")
@@ -300,10 +298,7 @@ def set07(spark, sf_dir):
 
 @register("TOP02_nearest_neighbours", f"with {ITEMS}, c as (select a.pos as src, b.pos as dst, round(list_cosine_similarity(a.vec, b.vec), 9) as c from items a join items b on a.pos <> b.pos), r as (select *, row_number() over (partition by src order by c desc, dst) as k from c) select src, dst, k::int as k from r where k <= 5")
 def top02(spark, sf_dir):
-    both = materialize(graph.blocked_edges(items(spark, sf_dir), 10.0), "pairs")
-    directed = both.select("src", "dst", "d").union(both.select("dst", "src", "d"))
-    k = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return directed.withColumn("k", k).filter("k <= 5").select("src", "dst", F.col("k").cast("int").alias("k"))
+    return graph.nearest_neighbours(items(spark, sf_dir), 5).select("src", "dst", F.col("k").cast("int").alias("k"))
 
 
 @register("VEC01_cosine", f"with {ITEMS} select pos, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) as norm, round(list_cosine_similarity(vec, list_reverse(vec)), 6) as c from items")

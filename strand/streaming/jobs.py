@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strand.functions.vectors import unit
 from strand.operators.graph import DIGITS, npc
+from strand.plans.cut import exists, materialize
 
 
 def ledger_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id"):
@@ -20,24 +22,34 @@ def ledger_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        try:
+        if exists(spark, out):
             rows = rows.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # no output yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         transform(rows).write.mode("append").parquet(out)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cross_edges(batch: DataFrame, history: DataFrame, limit: float) -> DataFrame:
+def cross_edges(batch: DataFrame, history: DataFrame, limit: float, block: int = 1024) -> DataFrame:
     """Edges below ``limit`` of a batch (part, pos, vec) with itself and with history, forward in position:
-    late items attach backwards, as positions decide and not arrival."""
-    own = batch.select("part", F.col("pos").alias("p"), unit(F.col("vec")).alias("v"))
-    others = history.select("part", F.col("pos").alias("q"), unit(F.col("vec")).alias("u")).unionByName(batch.select("part", F.col("pos").alias("q"), unit(F.col("vec")).alias("u")))
-    d = F.round(1 - F.aggregate(F.zip_with("v", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), DIGITS)
-    pairs = own.join(others, "part").filter("p <> q").select("part", F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), d.alias("d"))
-    return pairs.filter(F.col("d") < limit).dropDuplicates(["part", "src", "dst"])
+    late items attach backwards, as positions decide and not arrival.
+
+    Rows are dealt into blocks of positions; only pairs of blocks of which one holds new rows meet, each in one matrix product.
+    """
+    rows = batch.select("part", "pos", unit(F.col("vec")).alias("vec"), F.lit(1).alias("fresh")).unionByName(history.select("part", "pos", unit(F.col("vec")).alias("vec"), F.lit(0).alias("fresh")))
+    rows = rows.withColumn("own", F.floor(F.col("pos") / block).cast("long"))
+    blocks = materialize(rows.groupBy("part", "own").agg(F.max("fresh").alias("new")), "growing-blocks")
+    pairs = blocks.join(blocks.select("part", F.col("own").alias("j"), F.col("new").alias("other")), "part").filter("own <= j and new + other > 0")
+    pairs = pairs.select("part", F.col("own").alias("i"), "j", F.explode(F.array_distinct(F.array("own", "j"))).alias("own"))
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["own"] == group["i"]], group[group["own"] == group["j"]]
+        d = np.round(1 - np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T, DIGITS)
+        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
+        new = (left["fresh"].to_numpy()[:, None] + right["fresh"].to_numpy()[None, :]) > 0
+        a, b = np.nonzero((d < limit) & new & (p[:, None] < q[None, :]))
+        return pd.DataFrame({"part": group["part"].iloc[0], "src": p[a], "dst": q[b], "d": d[a, b]})
+
+    return rows.join(pairs, ["part", "own"]).groupBy("part", "i", "j").applyInPandas(product, "part int, src long, dst long, d double")
 
 
 def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0.7):
@@ -46,12 +58,9 @@ def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         items, edges = f"{out}/items", f"{out}/edges"
-        try:
+        history = batch.select("part", "pos", "vec").limit(0)
+        if exists(spark, items):
             history = spark.read.parquet(items).filter(F.col("batch") != batch_id).select("part", "pos", "vec")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            history = batch.select("part", "pos", "vec").limit(0)
         cross_edges(batch, history, limit).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{edges}/b={batch_id}")
         batch.select("part", "pos", "vec").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{items}/b={batch_id}")
 
