@@ -189,8 +189,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
 
     Lines of the high cluster of smoothed text-to-tag ratios select the regions of content: the article is the
     innermost element that holds ``share`` of their text, and of what stands in it each block that holds such a
-    line. Paragraphs and headings beside them belong to the article, short ones too, and so do lists and tables
-    without links; link lists, boxes and marked blocks without a content line don't.
+    line, or, of links, mostly such lines. Paragraphs and headings beside them belong to the article, short ones too,
+    and so do lists and tables without links; other link lists, boxes and marked blocks don't.
     """
     if not html:
         return ""
@@ -245,10 +245,11 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
                 return False
             way = way[way.index(region) + 1 :]
         for n in way:
-            name = page.names[n]
-            if held.get(n) or name in ("html", "body"):
+            name, linked = page.names[n], 2 * links[n] >= texts[n]
+            # smoothing lifts a list's first and last line beside a paragraph: of links more than that must be high
+            if name in ("html", "body") or 2 * held.get(n, 0) >= texts[n] or (held.get(n) and not linked):
                 continue
-            if line.marks or (name not in _RUNNING and name != usual and (name not in _LISTS or 2 * links[n] >= texts[n])):
+            if line.marks or (name not in _RUNNING and name != usual and (name not in _LISTS or linked)):
                 return False
         return True
 
