@@ -61,7 +61,7 @@ def str07(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.highlight(F.col("p_name"), T.first_word(F.col("p_name"))).alias("html"))
 
 
-@register("VIZ01_print_thread")
+@register("VIZ01_print_thread", "select conv_id, string_agg('[' || turn || '] ' || replace(role || ': ' || text, role, '<b>' || role || '</b>'), chr(10) order by turn) as text from conversations group by conv_id")
 def viz01(spark, sf_dir):
     """A conversation as one printable text: time line, marked role, text."""
     line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), T.highlight(F.concat("role", F.lit(": "), "text"), F.col("role")))
@@ -251,13 +251,13 @@ def arr03(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parsed["extents"][0]["startPara"].alias("start"))
 
 
-@register("ARR04_mention_json")
+@register("ARR04_mention_json", """select conv_id, turn, '{"text":"' || role || '","start":' || turn || ',"end":' || (turn + 1) || '}' as mention from conversations""")
 def arr04(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.to_json(F.struct(F.col("role").alias("text"), F.col("turn").alias("start"), (F.col("turn") + 1).alias("end"))).alias("mention"))
 
 
-@register("ARR05_padding")
+@register("ARR05_padding", "with c as (select vec_id, label, embedding[1:(vec_id % 60 + 1)]::double[] as v from embeddings) select vec_id, (max(len(v)) over (partition by label))::int as length, round(list_sum(v), 6) as total from c")
 def arr05(spark, sf_dir):
     """Embeddings cut to different lengths, padded with zeros to the longest of their label."""
     from pyspark.sql import Window
@@ -265,7 +265,7 @@ def arr05(spark, sf_dir):
     cut = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", F.lit(1), (F.col("vec_id") % 60 + 1).cast("int")).alias("v"))
     longest = F.max(F.size("v")).over(Window.partitionBy("label"))
     padded = F.concat(F.col("v").cast("array<double>"), F.array_repeat(F.lit(0.0), longest - F.size("v")))
-    return cut.select("vec_id", F.size(padded).alias("length"), F.aggregate(padded, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return cut.select("vec_id", F.size(padded).alias("length"), F.round(F.aggregate(padded, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @register("ARR06_one_hot", "select p_partkey, array_to_string(list_transform(range(0, 5), lambda i: (i = p_size % 5)::int), '') as hot from part")

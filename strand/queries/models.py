@@ -15,6 +15,9 @@ from strand.plans import runs
 from strand.plans.cut import materialize, shared_dir
 from strand.queries.tables import ITEMS, PART_SIZE, items, parted, table
 from strand.queries.tables import passages as passages_of
+from strand import registry
+from strand.queries import threads as _threads  # noqa: F401  registers what is merged below
+from strand.queries.coref import _FEAT
 from strand.registry import register
 from strand.sources import documents as D
 from strand.sources import stored as S
@@ -156,14 +159,16 @@ def vec13(spark, sf_dir):
     return _by_part(spark, sf_dir, one, "part int, dims int, trace double, exact boolean")
 
 
-def _docx(spark):
-    """Three small files: one with comments, one without, one that is no word file."""
-    made = [
-        ("a", D.make_docx(["Document Date: 2001-02-03", "END", "First passage.", "", "Second & last.", ""], [(2, 2, "Type: Personal"), (4, 4, "Note: x")])),
-        ("b", D.make_docx(["END", "Only one.", ""])),
-        ("c", b"not a word file"),
-    ]
-    return spark.createDataFrame(made, "doc_id string, content binary")
+def _docx(spark, sf_dir):
+    """A word file for each customer: three paragraphs, and a comment on the first two for every other one."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), "c_name", "c_mktsegment", (F.col("c_custkey") % 2 == 0).alias("noted"))
+
+    def make(batches):
+        for batch in batches:
+            files = [D.make_docx([name, "a & b", segment], [(0, 1, f"Type: {segment}")] if noted else []) for name, segment, noted in zip(batch["c_name"], batch["c_mktsegment"], batch["noted"], strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": files})
+
+    return rows.mapInPandas(make, "doc_id string, content binary")
 
 
 @register("SRC01_docx_scan", "select n_name || '#w' as doc_id, 2::bigint as paragraphs from nation")
@@ -197,26 +202,27 @@ def src22(spark, sf_dir):
     return S.mock_labels(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id")))
 
 
-@register("SRC02_docx_paragraphs")
+@register("SRC02_docx_paragraphs", "select c_custkey::varchar as doc_id, idx, case idx when 0 then c_name when 1 then 'a & b' else c_mktsegment end as text, null::varchar as error from customer, (values (0), (1), (2)) i(idx)")
 def src02(spark, sf_dir):
-    return D.docx_paragraphs(_docx(spark))
+    return D.docx_paragraphs(_docx(spark, sf_dir))
 
 
-@register("SRC03_docx_comments")
+@register("SRC03_docx_comments", """select c_custkey::varchar as doc_id, '[{"extents":[{"startPara":0,"endPara":1}],"author":"a","text":"Type: ' || c_mktsegment || '"}]' as json from customer where c_custkey % 2 = 0""")
 def src03(spark, sf_dir):
-    return D.annotations_json(D.docx_comments(_docx(spark)))
+    return D.annotations_json(D.docx_comments(_docx(spark, sf_dir)))
 
 
-@register("SRC04_comment_scan")
+@register("SRC04_comment_scan", "select c_custkey::varchar as doc_id, '0' as comment_id, 'a' as author, 'Type: ' || c_mktsegment as text from customer where c_custkey % 2 = 0")
 def src04(spark, sf_dir):
-    return D.docx_comments(_docx(spark)).select("doc_id", "comment_id", "author", "text")
+    return D.docx_comments(_docx(spark, sf_dir)).select("doc_id", "comment_id", "author", "text")
 
 
-@register("SRC05_comment_ranges")
+@register("SRC05_comment_ranges", "select c_custkey::varchar as doc_id, '0' as comment_id, idx, case idx when 0 then c_name else 'a & b' end as text from customer, (values (0), (1)) i(idx) where c_custkey % 2 = 0")
 def src05(spark, sf_dir):
-    paras = D.docx_paragraphs(_docx(spark))
-    notes = D.docx_comments(_docx(spark)).select("doc_id", F.col("start").alias("idx"), "comment_id")
-    return notes.join(paras, ["doc_id", "idx"]).select("doc_id", "comment_id", "idx", "text")
+    """The paragraphs that each comment spans."""
+    files = materialize(_docx(spark, sf_dir), "word-files")
+    notes = D.docx_comments(files).select("doc_id", "comment_id", F.explode(F.sequence("start", "end")).alias("idx"))
+    return notes.join(D.docx_paragraphs(files), ["doc_id", "idx"]).select("doc_id", "comment_id", "idx", "text")
 
 
 def _conll(spark, sf_dir):
@@ -232,7 +238,8 @@ def src15(spark, sf_dir):
     return D.read_conll(spark, path).groupBy("doc", "utt").agg(F.count("*").alias("tokens"))
 
 
-@register("SRC16_corpus_scan")
+@register("SRC16_corpus_scan", """with t as (select conv_id::varchar as doc, turn::int as utt, unnest(w) as word, unnest(range(0, len(w)))::int as tok from (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from conversations))
+select doc, '000' as part, utt, length(word)::varchar as label, tok as start, tok as "end" from t where tok % 5 = 0""")
 def src16(spark, sf_dir):
     path = _folder(spark, "conll")
     D.write_conll(_conll(spark, sf_dir), path)
@@ -246,7 +253,7 @@ def src17(spark, sf_dir):
     return spark.read.text(path)
 
 
-@register("SRC18_feature_tables")
+@register("SRC18_feature_tables", f"{_FEAT} select doc, ant, men, exact from feat")
 def src18(spark, sf_dir):
     from strand.queries.coref import features_of
 
@@ -263,7 +270,7 @@ def src23(spark, sf_dir):
     return D.read_embeddings(spark, path).select("word", F.size("vec").alias("dims"))
 
 
-@register("SRC25_merged_results")
+@register("SRC25_merged_results", f"select *, 'first wins' as run from ({registry.oracle_sql()['AGG02_evaluation']}) union all by name select *, 'all threads' as run from ({registry.oracle_sql()['AGG20_evaluation_all_threads']})")
 def src25(spark, sf_dir):
     from strand.queries.threads import agg02, agg20
 
@@ -398,14 +405,18 @@ def stm01(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("STM02_growing_graph")
+@register("STM02_growing_graph", registry.oracle_sql()["GRF05_npc_communities"])
 def stm02(spark, sf_dir):
     out = _folder(spark, "growing")
     jobs.growing_graph(_stream(spark, items(spark, sf_dir).select("part", "pos", "vec"), "items"), out, _folder(spark, "offsets")).awaitTermination()
     return jobs.communities(spark, out).select("node", "comm")
 
 
-@register("STM03_dialogue_stream")
+_LINKED = r"""with w as (select conv_id, turn, unnest(list_distinct(list_filter(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^\p{Lu}')), lambda x: trim(x, '.,;:!?')), lambda x: x <> ''))) as word from conversations)
+select conv_id, turn, word, lag(turn) over (partition by conv_id, word order by turn) as antecedent_turn from w"""
+
+
+@register("STM03_dialogue_stream", _LINKED)
 def stm03(spark, sf_dir):
     """Utterances of a stream resolved against the turns kept in state; one file, so the order is the turns'."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -415,7 +426,7 @@ def stm03(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("COR09_dialogue_resolution")
+@register("COR09_dialogue_resolution", _LINKED)
 def cor09(spark, sf_dir):
     """The same by one batch call."""
     return jobs.resolve_dialogue(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))

@@ -87,12 +87,15 @@ def prj06(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "text")
 
 
-@register("PRJ07_thread_pattern")
+@register("PRJ07_thread_pattern", "select p_partkey, emb || case when p_size % 2 = 0 then '_time' else '' end || case when p_size % 3 = 0 then '_ent' else '' end || '_npc' as name from (select p_partkey, p_size, case when p_partkey % 2 = 0 then 'tfidf' else 'lsa' end as emb from part)")
 def prj07(spark, sf_dir):
+    """Names of runs, one a part, from its options."""
     from strand.params import thread_pattern
 
-    rows = [(e, t, n, thread_pattern(e, t, n)) for e in ("tfidf", "lsa") for t in (True, False) for n in (True, False)]
-    return spark.createDataFrame(rows, "emb string, time_decay boolean, ent_similarity boolean, name string")
+    names = F.create_map(*[x for e in ("tfidf", "lsa") for t in (True, False) for n in (True, False) for x in (F.lit(f"{e}{t}{n}".lower()), F.lit(thread_pattern(e, t, n)))])
+    emb = F.when(F.col("p_partkey") % 2 == 0, "tfidf").otherwise("lsa")
+    key = F.concat(emb, (F.col("p_size") % 2 == 0).cast("string"), (F.col("p_size") % 3 == 0).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, key).alias("name"))
 
 
 _SPEAKERS = """select conv_id, turn, case when turn % 5 = 0 then role else ((turn + 1) % 2)::varchar end as speaker from conversations"""
@@ -242,7 +245,7 @@ def src20(spark, sf_dir):
     return files.read_set(spark, path)
 
 
-@register("SRC14_matrix_tables")
+@register("SRC14_matrix_tables", "select 1::int as part, vec_id as pos from embeddings where vec_id % 4 = 1")
 def src14(spark, sf_dir):
     """Vectors as a table partitioned by part, read back with only the wanted part's files."""
     path = _folder(spark, "matrix")
@@ -260,12 +263,21 @@ def src26(spark, sf_dir):
     return files.read_lines(spark, path)
 
 
-@register("SRC13_config")
+@register("SRC13_config", "select n_nationkey, n_nationkey::double as alpha, 0.2::double as gamma, '/data/threads/emb_' || n_name as path from nation")
 def src13(spark, sf_dir):
+    """A configuration file for each nation: written, read back, overridden; unknown keys and empty overrides change nothing."""
+    from dataclasses import asdict
+
     from strand.params import HyperParams, Paths
 
-    own = HyperParams.from_json('{"alpha": 3, "unknown": 1}').with_overrides(gamma=0.2, max_common_ent=None)
-    return spark.createDataFrame([(own.to_json(), Paths("/data").of("threads", emb="lsa", time=None))], "params string, path string")
+    path = _folder(spark, "config")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").cast("double").alias("alpha"), F.col("n_name").alias("unknown"))).alias("params"), "n_name")
+    rows.write.json(path)
+    out = []
+    for r in spark.read.json(path).collect():  # 25 files' worth
+        own = asdict(HyperParams.from_json(r["params"]).with_overrides(gamma=0.2, max_common_ent=None))
+        out.append((r["n_nationkey"], float(own["alpha"]), float(own["gamma"]), Paths("/data").of("threads", emb=r["n_name"], time=None)))
+    return spark.createDataFrame(out, "n_nationkey long, alpha double, gamma double, path string")
 
 
 @register("STM05_memo_table", "select lang, count(*)::bigint as docs from documents group by lang")
@@ -300,7 +312,7 @@ def set04(spark, sf_dir):
     return rows.select("source_id", F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_except("b", "a")).cast("long").alias("only_b"))
 
 
-@register("STM04_batched_pipe")
+@register("STM04_batched_pipe", "select doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))::bigint as words from documents")
 def stm04(spark, sf_dir):
     """An iterator function over mini-batches of 128 rows: how many rows each document's batch had."""
     import pandas as pd
@@ -314,7 +326,7 @@ def stm04(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(pipe, "doc_id long, words long")
 
 
-@register("WIN14_length_batches")
+@register("WIN14_length_batches", "select doc_id, source, floor((sum(n_chars) over (partition by source order by n_chars, doc_id) - 1) / 20000)::int as batch from documents")
 def win14(spark, sf_dir):
     """Documents sorted by size within a source and cut where the running size passes the batch size."""
     running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
