@@ -214,15 +214,18 @@ def passage_hops(incidence: DataFrame, pairs: DataFrame, limit: int = 5) -> Data
     return pairs.join(reached.select("src", F.col("at").alias("dst"), "hops"), ["src", "dst"], "left")
 
 
-def shared_entities(incidence: DataFrame, salt: int = 8) -> DataFrame:
+def shared_entities(incidence: DataFrame, hot_from: int = 2000) -> DataFrame:
     """(src, dst, shared) for passages src < dst with a common entity.
 
-    An equi-join on the entity, whose passages are dealt by a hash over ``salt`` keys on one side and met by all on
-    the other, so an entity of very many passages is that many tasks; shared entities are counted map-side.
+    An equi-join on the entity. The passages of an entity of more than ``hot_from`` are dealt by a hash over as many
+    keys as it has that many on one side, and met by all on the other, so it is that many tasks; shared entities
+    are counted map-side.
     """
-    deal = F.pmod(F.xxhash64("doc"), F.lit(salt)).cast("int")
-    a = incidence.select(F.col("doc").alias("src"), "entity", deal.alias("salt"))
-    b = incidence.select(F.col("doc").alias("dst"), "entity", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    hot = materialize(incidence.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > hot_from).select("entity", F.ceil(F.col("n") / hot_from).cast("int").alias("salts")), "hot-entities")
+    hot = F.broadcast(hot) if hot.count() <= 200_000 else hot
+    rows = incidence.join(hot, "entity", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = rows.select(F.col("doc").alias("src"), "entity", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))
+    b = rows.select(F.col("doc").alias("dst"), "entity", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return a.join(b, ["entity", "salt"]).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
 
 
