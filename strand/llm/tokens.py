@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -14,8 +16,8 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The file's own split pattern (a fixed value), for those characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ÿ]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of each of a cache's two generations: about 200 bytes an entry.
-_CACHED = 100_000
+#: Entries of each of the cache's two generations: about 200 bytes an entry.
+_CACHED = 250_000
 _LONGEST = 64
 
 
@@ -26,26 +28,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Generations[K]:
-    """A bounded cache: when the young generation is full it becomes the old one, and what is asked for again is young again."""
+class Generations(dict):
+    """A bounded cache of ``make(key)``: when it is full all of it becomes the old generation, and what is asked for again is
+    young again. A lookup that hits is one step of the dict itself."""
 
-    def __init__(self, size: int = _CACHED):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, make: Callable[..., bytes]):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
 
-    def get(self, key: K) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
-    def put(self, key: K, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
 
 class WordIds:
-    """ids(text) of one tokenizer. Memory is bounded by the caches' bounds."""
+    """ids(text) of one tokenizer. Memory is bounded by the cache's bound."""
 
     def __init__(self, path: str):
         import json
@@ -66,32 +70,28 @@ class WordIds:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: Generations[bytes] = Generations()
-        self.parts: Generations[str] = Generations()
+        self.words = Generations(_CACHED, self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-            found = np.asarray([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-            if len(part) <= _LONGEST:
-                self.parts.put(part, found)
-        return found
+    def _letters(self, part: str) -> bytes:
+        """Ids of one part of the file's split, already in lower case."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            text = word.decode()
-            if _PLAIN.fullmatch(text):
-                found = b"".join(map(self._part, _PARTS.findall(text.lower())))
-            else:
-                found = self._whole(text)
-            if len(word) <= _LONGEST:
-                self.words.put(word, found)
-        return found
+        if word.isalpha():  # ASCII letters: one part
+            return self._letters(word.decode().lower())
+        text = word.decode()
+        if not _PLAIN.fullmatch(text):
+            return self._whole(text)
+        parts = _PARTS.findall(text.lower())
+        if len(parts) == 1:
+            return self._letters(parts[0])
+        return b"".join([self.words[x.encode()] for x in parts])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text, 4 bytes each, without special tokens added; those in the text count as such."""
@@ -100,12 +100,7 @@ class WordIds:
         data = text.encode()
         if not self.by_word or any(s in data for s in self.special):
             return self._whole(text)
-        words = data.split()
-        found = list(map(self.words.young.get, words))
-        if None in found:
-            word = self._word
-            found = [word(w) if x is None else x for x, w in zip(found, words, strict=True)]
-        return b"".join(found)
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 _LOADED: dict[str, WordIds] = {}
