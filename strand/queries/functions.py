@@ -42,7 +42,7 @@ def str04(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_comment(F.concat("p_name", F.lit(" :  Other Reason:"), "p_brand")).alias("text"))
 
 
-@register("STR05_comment_fields")
+@register("STR05_comment_fields", "select p_partkey, p_type as type, 'a|b, c' as exemption, p_name as note from part")
 def str05(spark, sf_dir):
     text = F.concat(F.lit("Type: "), "p_type", F.lit("\nExemption: a\nExemption: b, c\nNote : "), "p_name")
     fields = T.comment_fields(text)

@@ -238,15 +238,18 @@ def src15(spark, sf_dir):
     return D.read_conll(spark, path).groupBy("doc", "utt").agg(F.count("*").alias("tokens"))
 
 
-@register("SRC16_corpus_scan", """with t as (select conv_id::varchar as doc, turn::int as utt, unnest(w) as word, unnest(range(0, len(w)))::int as tok from (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from conversations))
-select doc, '000' as part, utt, length(word)::varchar as label, tok as start, tok as "end" from t where tok % 5 = 0""")
+_CORPUS = r"""with t as (select conv_id::varchar as doc, turn::int as utt, unnest(w) as word, unnest(range(0, len(w)))::int as tok from (select conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from conversations))"""
+
+
+@register("SRC16_corpus_scan", f"""{_CORPUS} select doc, '000' as part, utt, length(word)::varchar as label, tok as start, tok as "end" from t where tok % 5 = 0""")
 def src16(spark, sf_dir):
     path = _folder(spark, "conll")
     D.write_conll(_conll(spark, sf_dir), path)
     return D.conll_mentions(D.read_conll(spark, path))
 
 
-@register("SRC17_response_file")
+@register("SRC17_response_file", f"""{_CORPUS} select '#begin document (' || doc || '); part 000' as value from (select distinct doc from t) union all select '#end document' from (select distinct doc from t)
+union all select '' from (select distinct doc, utt from t) union all select concat_ws(chr(9), doc, '000', tok, word, case when tok % 5 = 0 then '(' || length(word) || ')' else '-' end) from t""")
 def src17(spark, sf_dir):
     path = _folder(spark, "response")
     D.write_conll(_conll(spark, sf_dir), path)
@@ -319,7 +322,8 @@ def trn03(spark, sf_dir):
     return seen.groupBy("stage").agg(F.count("*").alias("epochs"), (F.min("loss") <= F.min_by("loss", "epoch")).alias("falls"))
 
 
-@register("TRN05_corpus_features")
+@register("TRN05_corpus_features", f"""{_CORPUS}, m as (select doc, (row_number() over (partition by doc order by utt, tok) - 1)::int as i, lower(word) as content, length(word) as label from t where tok % 5 = 0)
+select a.doc, a.i as ant, b.i as men, (a.content = b.content)::int as exact, (a.label = b.label)::int as gold from m a join m b on a.doc = b.doc and a.i < b.i and (b.i - a.i <= 10 or (a.content = b.content and b.i - a.i <= 30))""")
 def trn05(spark, sf_dir):
     """Corpus tokens to mentions to pairs to labelled features, one composition."""
     from strand.operators import coref

@@ -253,7 +253,7 @@ def src14(spark, sf_dir):
     return spark.read.parquet(path).filter("part = 1").select("part", "pos")
 
 
-@register("SRC26_sentence_listing")
+@register("SRC26_sentence_listing", f"with {LINES} select '#begin ' || source_id as value from (select distinct source_id from lines) union all select '#end' from (select distinct source_id from lines) union all select text from lines")
 def src26(spark, sf_dir):
     from strand.sources import files
 
