@@ -275,9 +275,10 @@ def src23(spark, sf_dir):
 
 @register("SRC25_merged_results", f"select *, 'first wins' as run from ({registry.oracle_sql()['AGG02_evaluation']}) union all by name select *, 'all threads' as run from ({registry.oracle_sql()['AGG20_evaluation_all_threads']})")
 def src25(spark, sf_dir):
-    from strand.queries.threads import agg02, agg20
+    from strand.queries.threads import _rounded, labelled_members
 
-    return agg02(spark, sf_dir).withColumn("run", F.lit("first wins")).unionByName(agg20(spark, sf_dir).withColumn("run", F.lit("all threads")))
+    own = labelled_members(spark, sf_dir)  # found once, evaluated twice
+    return _rounded(threads.evaluation(own)).withColumn("run", F.lit("first wins")).unionByName(_rounded(threads.evaluation(own, unique=False)).withColumn("run", F.lit("all threads")))
 
 
 _MLP = """with e as (select vec_id, embedding::double[] as x from embeddings), h as (

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strand.functions.vectors import unit
-from strand.operators.graph import DIGITS, npc
-from strand.plans.cut import exists, materialize
+from strand.operators.graph import blocked_edges, npc
+from strand.plans.cut import exists
 
 
 def ledger_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id"):
@@ -33,23 +31,10 @@ def cross_edges(batch: DataFrame, history: DataFrame, limit: float, block: int =
     """Edges below ``limit`` of a batch (part, pos, vec) with itself and with history, forward in position:
     late items attach backwards, as positions decide and not arrival.
 
-    Rows are dealt into blocks of positions; only pairs of blocks of which one holds new rows meet, each in one matrix product.
+    Rows are dealt into tiles of positions as for all edges; pairs of tiles or blocks without new rows don't meet.
     """
-    rows = batch.select("part", "pos", unit(F.col("vec")).alias("vec"), F.lit(1).alias("fresh")).unionByName(history.select("part", "pos", unit(F.col("vec")).alias("vec"), F.lit(0).alias("fresh")))
-    rows = rows.withColumn("own", F.floor(F.col("pos") / block).cast("long"))
-    blocks = materialize(rows.groupBy("part", "own").agg(F.max("fresh").alias("new")), "growing-blocks")
-    pairs = blocks.join(blocks.select("part", F.col("own").alias("j"), F.col("new").alias("other")), "part").filter("own <= j and new + other > 0")
-    pairs = pairs.select("part", F.col("own").alias("i"), "j", F.explode(F.array_distinct(F.array("own", "j"))).alias("own"))
-
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["own"] == group["i"]], group[group["own"] == group["j"]]
-        d = np.round(1 - np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T, DIGITS)
-        p, q = left["pos"].to_numpy(), right["pos"].to_numpy()
-        new = (left["fresh"].to_numpy()[:, None] + right["fresh"].to_numpy()[None, :]) > 0
-        a, b = np.nonzero((d < limit) & new & (p[:, None] < q[None, :]))
-        return pd.DataFrame({"part": group["part"].iloc[0], "src": p[a], "dst": q[b], "d": d[a, b]})
-
-    return rows.join(pairs, ["part", "own"]).groupBy("part", "i", "j").applyInPandas(product, "part int, src long, dst long, d double")
+    rows = batch.select("part", "pos", "vec", F.lit(1).alias("fresh")).unionByName(history.select("part", "pos", "vec", F.lit(0).alias("fresh")))
+    return blocked_edges(rows, limit, block)
 
 
 def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0.7):
@@ -68,7 +53,8 @@ def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0
 
 
 def communities(spark: SparkSession, out: str) -> DataFrame:
-    return npc(spark.read.parquet(f"{out}/edges").select("part", "src", "dst", "d").dropDuplicates(["part", "src", "dst"]))
+    """An edge that is there twice changes nothing: the smallest counts."""
+    return npc(spark.read.parquet(f"{out}/edges").select("part", "src", "dst", "d"))
 
 
 def _linked(conv: int, rows: pd.DataFrame, seen: dict[str, int], window: int) -> tuple[pd.DataFrame, dict[str, int]]:
