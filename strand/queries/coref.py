@@ -323,19 +323,29 @@ def _boxed(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_nationkey").alias("g"), (k % 50).alias("x"), (k % 50 + k % 7 + 1).alias("y"))
 
 
-def _within(b):
-    o = b.select("g", F.col("k").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    return b.join(o, "g").filter("k <> o and ox <= x and y <= oy")
+def _classes_within(b):
+    """(g, x, y, ox, oy, n): the different ranges of a group, each with those that hold it and how many rows have them."""
+    sizes = materialize(b.groupBy("g", "x", "y").agg(F.count("*").alias("n")), "ranges")  # equal ranges are compared once
+    return sizes.drop("n").join(sizes.withColumnsRenamed({"x": "ox", "y": "oy"}), "g").filter("ox <= x and y <= oy")
 
 
 @register("JOIN13_box_entailment", f"with {_BOX} select a.k, count(*)::bigint as within from b a join b o on a.g = o.g and a.k <> o.k and o.x <= a.x and a.y <= o.y group by a.k")
 def join13(spark, sf_dir):
-    return _within(_boxed(spark, sf_dir)).groupBy("k").agg(F.count("*").alias("within"))
+    """How many others hold each: sums over the different ranges that do, less the rows of its own key among them."""
+    b = _boxed(spark, sf_dir).filter("k is not null")
+    holding = _classes_within(b).groupBy("g", "x", "y").agg(F.sum("n").alias("n"))
+    own = b.join(b.select("g", "k", F.col("x").alias("ox"), F.col("y").alias("oy")), ["g", "k"]).filter("ox <= x and y <= oy").groupBy("k").agg(F.count("*").alias("own"))
+    within = b.join(holding, ["g", "x", "y"]).groupBy("k").agg(F.sum("n").alias("n")).join(own, "k")
+    return within.select("k", (F.col("n") - F.col("own")).alias("within")).filter("within > 0")
 
 
 @register("JOIN14_interval_entailment", f"with {_BOX} select a.k, o.k as other from b a join b o on a.g = o.g and a.k <> o.k and o.x <= a.x and a.y <= o.y where abs(a.x - o.x) <= 2")
 def join14(spark, sf_dir):
-    return _within(_boxed(spark, sf_dir)).filter("abs(x - ox) <= 2").select("k", F.col("o").alias("other"))
+    """The pairs of ranges that qualify are found first, so rows meet only those that they are paired with."""
+    b = _boxed(spark, sf_dir)
+    near = _classes_within(b).filter("abs(x - ox) <= 2").select("g", "x", "y", "ox", "oy")
+    left = b.join(near, ["g", "x", "y"]).select("k", "g", "ox", "oy")
+    return left.join(b.select(F.col("k").alias("other"), "g", F.col("x").alias("ox"), F.col("y").alias("oy")), ["g", "ox", "oy"]).filter("k <> other").select("k", "other")
 
 
 @register("COR13_entity_of_span", f"{_M}, e as (select doc, sent, start, start + 4 as stop, 'E' || (start % 5) as label from m where start % 6 = 0) select m.doc, m.i, min(e.label) as label from m left join e on e.doc = m.doc and e.sent = m.sent and e.start <= m.start and m.\"end\" <= e.stop group by all")

@@ -28,3 +28,45 @@ def test_percentiles_by_cells(spark):
     ranks = (0.0, 0.25, 0.3, 0.75, 1.0)
     assert graph.distance_percentiles(edges, ranks) == pytest.approx(np.quantile(np.concatenate([x, x[:500]]), ranks), abs=1e-12)
     assert graph.distance_percentiles(edges.limit(0), ranks) == [None] * 5
+
+
+def test_parts_of_different_sizes_get_their_own_number_of_threads(spark):
+    _, rows = vectors(spark, 36)
+    rows = rows.selectExpr("if(pos < 30, 0, 1) as part", "pos", "cast(pos as string) as doc_id", "timestamp_seconds(pos) as created", "ts", "vec")
+    found = runs.seqint(rows, clusters_per_item=5).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in found} == {0: 6, 1: 1}
+
+
+def test_equal_ranges_are_compared_once(spark, tmp_path):
+    k = [*range(1, 400), 7, 7, None]
+    pd.DataFrame({"c_custkey": pd.array(k, "Int64"), "c_nationkey": pd.array([i % 3 for i in range(len(k))], "Int64")}).to_parquet(tmp_path / "customer.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    from strand.queries import coref as q
+
+    for name in ("JOIN13_box_entailment", "JOIN14_interval_entailment"):
+        got = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(registry.oracle_sql()[name]).fetchall()), name
+    b = spark.range(1000).selectExpr("id as k", "0 as g", "id % 5 as x", "id % 5 + 1 as y")
+    assert q._classes_within(b).count() == 5
+
+
+def test_corpus_files_are_read_by_document(spark, tmp_path):
+    from strand.sources import documents as D
+
+    doc = lambda name, word: f"#begin document ({name}); part 000\n{name}\t000\t0\t{word}\t(1)\n\n{name}\t000\t0\tb\t-\n\n#end document\n"
+    (tmp_path / "x.auto_conll").write_text(doc("x", "no"))
+    (tmp_path / "x.gold_conll").write_text("".join(doc(f"d{k}", "yes") for k in range(50)))
+    rows = D.read_conll(spark, f"file://{tmp_path}", rows=7)
+    assert sorted((r.doc, r.utt, r.tok, r.word) for r in rows.collect()) == sorted((f"d{k}", u, 0, w) for k in range(50) for u, w in ((0, "yes"), (1, "b")))
+    assert "wholetext" not in rows._jdf.queryExecution().toString() and spark.read.text(str(tmp_path), lineSep="\n#end document").filter("value like '%begin%'").count() == 51
+
+
+def test_annotations_are_handed_on_in_slices():
+    from strand.operators import fivew
+
+    batch = pd.DataFrame({"doc_id": list("abcdef"), "text": ["x" * 40, None, "y" * 70, "z", "", "w" * 500]})
+    parts = list(fivew._slices(iter([batch]), chars=100))
+    assert len(parts) == 3 and pd.concat(parts)["doc_id"].tolist() == list("abcdef")
