@@ -41,8 +41,7 @@ def hint(items: DataFrame, params: HyperParams = HyperParams(), time_decay: bool
 def seqint(items: DataFrame, params: HyperParams = HyperParams(), clusters_per_item: int | None = None) -> DataFrame:
     """Threads by complete linkage of decayed distances below 1, or by ward linkage into size // n clusters a part."""
     if clusters_per_item:
-        size = items.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-        labels = cluster.hac_part(items, max(1, size // clusters_per_item)).withColumnRenamed("label", "comm")
+        labels = cluster.hac_part(items, per_item=clusters_per_item).withColumnRenamed("label", "comm")
     else:
         edges = materialize(graph.time_pruned_edges(items, params), "run-edges")
         own = cluster.hac(edges, graph.components(edges)).withColumnRenamed("label", "comm")
