@@ -147,19 +147,28 @@ def bracket_tags(n: int, spans: list[tuple[str, int, int]]) -> list[str]:
 _CONLL = "doc string, part string, utt int, tok int, word string, coref string"
 
 
-def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of corpus files. Where a gold and an automatic file of a name exist, the gold one is read."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+def read_conll(spark: SparkSession, path: str, rows: int = 50_000) -> DataFrame:
+    """Tokens of corpus files. Where a gold and an automatic file of a name exist, the gold one is read.
+
+    Files are read by the documents framed in them, so a task holds documents and never a file, and hands on about ``rows`` tokens at once.
+    """
+    text = spark.read.text(path, lineSep="\n#end document", recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     stem = F.regexp_replace("path", r"[._](gold|auto)_conll.*$", "")
-    files = files.withColumns({"stem": stem, "gold": F.col("path").contains("gold").cast("int")})
-    best = files.groupBy("stem").agg(F.max_by("value", "gold").alias("value"))
+    files = text.select("path").distinct().withColumns({"stem": stem, "gold": F.col("path").contains("gold").cast("int")})
+    best = files.groupBy("stem").agg(F.max_by("path", "gold").alias("path")).select("path")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", "part", "utt", "tok", "word", "coref"]
         for batch in batches:
-            for text in batch["value"]:
-                yield pd.DataFrame(parse_conll(text), columns=["doc", "part", "utt", "tok", "word", "coref"])
-
-    return best.select("value").mapInPandas(parse, _CONLL)
+            held: list[tuple] = []
+            for value in batch["value"]:
+                held += parse_conll(value)
+                if len(held) >= rows:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            yield pd.DataFrame(held, columns=names)
+
+    return text.join(best, "path", "left_semi").select("value").mapInPandas(parse, _CONLL)
 
 
 def conll_mentions(tokens: DataFrame) -> DataFrame:
