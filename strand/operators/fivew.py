@@ -77,14 +77,24 @@ def answers(passages: DataFrame, base: dt.date, annotator: Annotator = annotate,
     return passages.select("doc_id", "text").mapInPandas(run, "doc_id string, " + ", ".join(f"`{q}` string" for q in QUESTIONS) + ", error string")
 
 
+def _slices(batches: Iterator[pd.DataFrame], chars: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Batches cut where the texts of one pass ``chars``: annotations take many times a text's memory, and a worker holds one slice's."""
+    for batch in batches:
+        ends = batch["text"].fillna("").str.len().cumsum().to_numpy() // chars
+        for _, part in batch.groupby(ends, sort=True):
+            yield part
+
+
 def token_rows(passages: DataFrame, annotator: Annotator = annotate) -> DataFrame:
     """(doc_id, tokens): annotated tokens as an array of structs."""
 
-    @F.pandas_udf("array<struct<index:int,word:string,sent:int,start:int,end:int,pos:string,ner:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([annotator(t or "") for t in texts])
+    kind = passages.schema["doc_id"].dataType.simpleString()
 
-    return passages.select("doc_id", run("text").alias("tokens"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches):
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [annotator(t or "") for t in batch["text"]]})
+
+    return passages.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, tokens array<struct<index:int,word:string,sent:int,start:int,end:int,pos:string,ner:string>>")
 
 
 def entity_rows(found: DataFrame, valid: str = "error is null") -> DataFrame:
@@ -150,7 +160,7 @@ def constituents(passages: DataFrame, annotator: Annotator = annotate, parser: P
     fails on, keep their row with an error and no tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 sentences: dict[int, list[Token]] = {}
