@@ -70,3 +70,22 @@ def test_annotations_are_handed_on_in_slices():
     batch = pd.DataFrame({"doc_id": list("abcdef"), "text": ["x" * 40, None, "y" * 70, "z", "", "w" * 500]})
     parts = list(fivew._slices(iter([batch]), chars=100))
     assert len(parts) == 3 and pd.concat(parts)["doc_id"].tolist() == list("abcdef")
+
+
+def test_weights_of_passages_where_they_stand(spark, monkeypatch):
+    rows = [("a", "x y y z"), ("b", "x z z z"), ("c", "x q"), ("c", "q r"), ("d", "")]
+    terms = spark.createDataFrame([(d, t.split(" ")) for d, t in rows], "doc string, terms array<string>")
+    plain = terms.selectExpr("doc", "explode(terms) as term").filter("term <> ''")
+    for kind in ({"max_df": 0.7}, {"max_terms": 3}):
+        want = {(r.doc, r.term): r.w for r in threads.tf_idf(plain, **kind).collect()}
+        assert {(r.doc, r.term): r.w for r in threads.passage_weights(terms, **kind).collect()} == pytest.approx(want)
+        monkeypatch.setattr(threads, "VOCABULARY", 1)
+        assert {(r.doc, r.term): r.w for r in threads.passage_weights(terms, **kind).collect()} == pytest.approx(want)
+        monkeypatch.undo()
+    own = plain.selectExpr("if(doc = 'a', 1, 2) as thread_id", "doc", "term")
+    weights = threads.tf_idf(plain)
+    want = {(r.thread_id, r.word): (r.rank, r.score) for r in threads.keywords(own, weights).collect()}
+    docs = own.select("thread_id", "doc").distinct().groupBy("thread_id").count().withColumnRenamed("count", "n")
+    got = threads.keywords_of_passages(weights.selectExpr("if(doc = 'a', 1, 2) as thread_id", "doc", "term", "w"), docs)
+    assert {(r.thread_id, r.word): (r.rank, r.score) for r in got.collect()} == want
+    assert "Window" not in threads.passage_weights(terms)._jdf.queryExecution().toString()
