@@ -89,3 +89,16 @@ def test_weights_of_passages_where_they_stand(spark, monkeypatch):
     got = threads.keywords_of_passages(weights.selectExpr("if(doc = 'a', 1, 2) as thread_id", "doc", "term", "w"), docs)
     assert {(r.thread_id, r.word): (r.rank, r.score) for r in got.collect()} == want
     assert "Window" not in threads.passage_weights(terms)._jdf.queryExecution().toString()
+
+
+def test_expression_edges_are_many_tasks(spark):
+    v, rows = vectors(spark, 120)
+    c = np.round(1 - cosines(v), 9)
+    got = [(r.src, r.dst) for r in graph.expression_edges(rows, 0.6, block=16).collect()]
+    assert sorted(got) == [(i, j) for i in range(120) for j in range(i + 1, 120) if c[i, j] < 0.6]
+    assert graph._tile_pairs(graph._tiles(rows, 16), None).filter("own = i").count() == 36
+
+
+def test_sparse_cosine_reads_the_whole_vocabulary():
+    sql = registry.oracle_sql()["VEC06_sparse_cosine"]
+    assert "0.01 * n" not in sql and "0.9 * n" in sql
