@@ -1,6 +1,10 @@
 """Registered queries against their DuckDB twins, on the smallest tables; one of each subject is enough here, the
 driver compares all of them."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from strand import registry
@@ -20,3 +24,9 @@ def test_oracle(spark, name):
 
 def test_every_twin_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_queries_are_read_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
