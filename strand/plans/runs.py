@@ -43,8 +43,7 @@ def seqint(items: DataFrame, params: HyperParams = HyperParams(), clusters_per_i
     if clusters_per_item:
         labels = cluster.hac_part(items, per_item=clusters_per_item).withColumnRenamed("label", "comm")
     else:
-        edges = materialize(graph.time_pruned_edges(items, params), "run-edges")
-        own = cluster.hac(edges, graph.components(edges)).withColumnRenamed("label", "comm")
+        own = cluster.complete(graph.time_pruned_edges(items, params)).withColumnRenamed("label", "comm")
         labels = own.join(items.select("part", F.col("pos").alias("node")), "node").select("part", "node", "comm")
     return _scored(threads.thread_members(labels, items))
 

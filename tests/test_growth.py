@@ -102,3 +102,16 @@ def test_expression_edges_are_many_tasks(spark):
 def test_sparse_cosine_reads_the_whole_vocabulary():
     sql = registry.oracle_sql()["VEC06_sparse_cosine"]
     assert "0.01 * n" not in sql and "0.9 * n" in sql
+
+
+def test_complete_linkage_without_matrices(spark):
+    v, rows = vectors(spark, 150)
+    c = np.round(1 - cosines(v), 9)
+    edges = graph.blocked_edges(rows, 0.7, block=32)
+    want = cluster.cut(150, cluster.merges(np.where(c < 0.7, c, 1.0)), height=1.0)
+    for task_links in (0, 300, 10**6):
+        got = {r.node: r.label for r in cluster.complete(edges, task_links).collect()}
+        assert got == {k: int(want[k]) for k in got} and len(got) == ((c < 0.7).sum(1) > 1).sum()
+    ties = spark.createDataFrame([(a, b, 0.5) for a in range(6) for b in range(a + 1, 6)] + [(7, 8, 0.1), (8, 9, 0.1)], "src long, dst long, d double")
+    assert all({r.node: r.label for r in cluster.complete(ties, k).collect()} == {**dict.fromkeys(range(6), 0), 7: 7, 8: 7, 9: 9} for k in (0, 100))
+    assert cluster.complete(ties.limit(0)).count() == 0
