@@ -26,13 +26,10 @@ def hint(items: DataFrame, params: HyperParams = HyperParams(), time_decay: bool
     if incidence is not None:
         from strand.functions.vectors import entity_distance
 
-        edges = materialize(edges, "run-edges")
-        shared = graph.shared_entities(incidence)
-        known = materialize(edges.join(shared, ["src", "dst"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "run-shared")
-        hops = graph.passage_hops(incidence, known.filter("shared = 0").select("src", "dst"), params.max_ent_between)
+        known = graph.edge_entities(edges, incidence, params.max_ent_between)
         path = F.col("hops") * 2
         w = entity_distance(F.col("d"), F.col("shared"), path, params.gamma, params.max_common_ent, params.max_ent_between)
-        edges = known.join(hops, ["src", "dst"], "left").select("part", "src", "dst", F.round(w, graph.DIGITS).alias("d"))
+        edges = known.select("part", "src", "dst", F.round(w, graph.DIGITS).alias("d"))
     edges = materialize(edges, "run-edges")
     found = graph.npc(edges) if community == "npc" else graph.louvain(edges.withColumn("d", 1 - F.col("d")))
     return _scored(threads.thread_members(found, items))

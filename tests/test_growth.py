@@ -115,3 +115,17 @@ def test_complete_linkage_without_matrices(spark):
     ties = spark.createDataFrame([(a, b, 0.5) for a in range(6) for b in range(a + 1, 6)] + [(7, 8, 0.1), (8, 9, 0.1)], "src long, dst long, d double")
     assert all({r.node: r.label for r in cluster.complete(ties, k).collect()} == {**dict.fromkeys(range(6), 0), 7: 7, 8: 7, 9: 9} for k in (0, 100))
     assert cluster.complete(ties.limit(0)).count() == 0
+
+
+def test_entities_of_edges_make_no_pairs(spark):
+    rng = np.random.default_rng(11)
+    own = sorted({(int(d), int(e)) for d in range(40) for e in ([0] if d < 12 else rng.integers(0, 25, 1 + d % 2))})
+    incidence = spark.createDataFrame(own, "doc long, entity long")
+    pairs = [(a, b) for a in range(42) for b in range(a + 1, 42) if rng.random() < 0.3]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    shared = {(r.src, r.dst): r.shared for r in graph.shared_entities(incidence).collect()}
+    far = [p for p in pairs if p not in shared]
+    hops = {(r.src, r.dst): r.hops for r in graph.passage_hops(incidence, spark.createDataFrame(far, "src long, dst long"), 3).collect()}
+    got = {(r.src, r.dst): (r.shared, r.hops) for r in graph.edge_entities(edges, incidence, 3).collect()}
+    assert got == {p: (shared.get(p, 0), hops.get(p)) for p in pairs} and len(set(hops.values())) > 2
+    assert graph._entity_classes(incidence).filter("doc < 12 and class = 0").count() == 12
