@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from strand import registry
-from strand.operators import cluster, graph, threads
+from strand.operators import cluster, embed, graph, threads
 from strand.plans import runs
 from tests.test_scale import cosines, vectors
 
@@ -129,3 +129,17 @@ def test_entities_of_edges_make_no_pairs(spark):
     got = {(r.src, r.dst): (r.shared, r.hops) for r in graph.edge_entities(edges, incidence, 3).collect()}
     assert got == {p: (shared.get(p, 0), hops.get(p)) for p in pairs} and len(set(hops.values())) > 2
     assert graph._entity_classes(incidence).filter("doc < 12 and class = 0").count() == 12
+
+
+def test_latent_semantics_of_rows_that_stay(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [(f"d{i:02}", [f"t{i % 3}{j}" for j in rng.integers(0, 9, 12)] + ["all", ""]) for i in range(30)] + [("none", ["all"])]
+    terms = spark.createDataFrame(texts, "doc string, terms array<string>")
+    want = {r.doc: np.array(r.vec) for r in embed.vectorise(terms.selectExpr("doc", "explode(terms) as term").filter("term <> ''"), 3).collect()}
+    for _ in range(2):
+        got = {r.doc: np.array(r.vec) for r in embed.vectorise_passages(terms, 3).collect()}
+        assert got.keys() == want.keys() and "none" not in got
+        assert all(abs(got[a] @ got[b] - want[a] @ want[b]) < 1e-6 for a in got for b in got)
+        monkeypatch.setattr(threads, "VOCABULARY", 1)
+    monkeypatch.undo()
+    assert "Join" not in embed.vectorise_passages(terms, 3)._jdf.queryExecution().toString()
