@@ -27,18 +27,19 @@ def ledger_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame]
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cross_edges(batch: DataFrame, history: DataFrame, limit: float, block: int = 1024) -> DataFrame:
+def cross_edges(batch: DataFrame, history: DataFrame, limit: float, block: int = 1024, parents: bool = False) -> DataFrame:
     """Edges below ``limit`` of a batch (part, pos, vec) with itself and with history, forward in position:
     late items attach backwards, as positions decide and not arrival.
 
-    Rows are dealt into tiles of positions as for all edges; pairs of tiles or blocks without new rows don't meet.
+    Rows are dealt into tiles of positions as for all edges; pairs of tiles or blocks without new rows don't meet. ``parents``: those
+    that communities need, as in :func:`blocked_edges`.
     """
     rows = batch.select("part", "pos", "vec", F.lit(1).alias("fresh")).unionByName(history.select("part", "pos", "vec", F.lit(0).alias("fresh")))
-    return blocked_edges(rows, limit, block)
+    return blocked_edges(rows, limit, block, parents=parents)
 
 
 def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0.7):
-    """Appends items and edges under ``out``; communities are read with :func:`communities`."""
+    """Appends items, and the edges that communities need, under ``out``; communities are read with :func:`communities`."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,7 +47,7 @@ def growing_graph(source: DataFrame, out: str, checkpoint: str, limit: float = 0
         history = batch.select("part", "pos", "vec").limit(0)
         if exists(spark, items):
             history = spark.read.parquet(items).filter(F.col("batch") != batch_id).select("part", "pos", "vec")
-        cross_edges(batch, history, limit).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{edges}/b={batch_id}")
+        cross_edges(batch, history, limit, parents=True).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{edges}/b={batch_id}")
         batch.select("part", "pos", "vec").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{items}/b={batch_id}")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -143,3 +143,30 @@ def test_latent_semantics_of_rows_that_stay(spark, monkeypatch):
         monkeypatch.setattr(threads, "VOCABULARY", 1)
     monkeypatch.undo()
     assert "Join" not in embed.vectorise_passages(terms, 3)._jdf.queryExecution().toString()
+
+
+def test_communities_need_few_edges(spark, monkeypatch):
+    _, rows = vectors(spark, 150)
+    monkeypatch.setattr(graph, "TILES", 2)  # of many blocks
+    edges, few = graph.blocked_edges(rows, 0.7, block=8).cache(), graph.blocked_edges(rows, 0.7, block=8, parents=True).cache()
+    assert few.exceptAll(edges).count() == 0 and few.count() < edges.count() / 2
+    n = few.groupBy("src", "dst").count().count()
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(graph.nearest_parents(few)) == as_set(graph.nearest_parents(edges))
+    ends = lambda df: as_set(df.selectExpr("explode(array(src, dst))"))
+    assert ends(few) == ends(edges) and n == few.count()
+    found = spark.createDataFrame([(0, k, k % 40) for k in range(150)], "part int, node long, comm long")
+    own = threads.thread_members(found, rows.selectExpr("*", "cast(pos as string) as doc_id", "timestamp_seconds(pos) as created")).cache()
+    walked = threads.step_edges(own, 0.7)
+    assert as_set(threads.is_path(own, walked)) == as_set(threads.is_path(own, edges))
+    score = lambda e: sorted((r[0], None if r[1] is None else round(r[1], 8)) for r in threads.path_score(own, e).collect())
+    assert score(walked) == score(edges)
+
+
+def test_a_later_graph_of_the_same_edges_is_laid_over_without_a_shuffle(spark):
+    rows = [(a, b, 0.1 * a) for a in range(5) for b in range(a + 1, 5)]
+    edges = spark.createDataFrame(rows, "src long, dst long, d double")
+    got = graph.recomposed(edges, edges["src"] % 2 == 0, edges["src"] * 0 + 1.0)
+    assert sorted(tuple(r) for r in got.collect()) == [(a, b, 1.0 if a % 2 == 0 else d) for a, b, d in rows]
+    plan = registry.queries()["SET01_graph_compose"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "max_by" not in plan
