@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from strand import registry
-from strand.operators import cluster, embed, graph, threads
+from strand.operators import cluster, embed, graph, sparse, threads
 from strand.plans import runs
 from tests.test_scale import cosines, vectors
 
@@ -170,3 +170,30 @@ def test_a_later_graph_of_the_same_edges_is_laid_over_without_a_shuffle(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(a, b, 1.0 if a % 2 == 0 else d) for a, b, d in rows]
     plan = registry.queries()["SET01_graph_compose"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "max_by" not in plan
+
+
+def test_sparse_cosines_shuffle_rows_and_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [[f"common{k}" for k in rng.integers(0, 4, 6)] + [f"rare{k}" for k in rng.integers(0, 60, 4)] for _ in range(50)]
+    texts = [(f"d{i:02}", t) for i, t in enumerate(texts + [texts[7]] * 9 + [texts[3][::-1]])]  # copies, and one in another order
+    rows = threads.passage_rows(spark.createDataFrame(texts, "doc string, terms array<string>"), max_df=1.0).cache()
+    vec = {r.doc: dict(zip(r.terms, r.w, strict=True)) for r in rows.collect()}
+    c = {(a, b): round(sum(x * vec[b].get(t, 0) for t, x in vec[a].items()), 9) for a in vec for b in vec if a <= b}
+    want = {p: x for p, x in c.items() if x > 0.3}
+    for name, value in {"RIGHT": 16, "COPIES": 4, "HANDED": 20}.items():
+        monkeypatch.setattr(sparse, name, value)
+    assert sparse.equal_rows(rows).count() == 49 + 3 and sparse._met(sparse.equal_rows(rows))._df.count() == 4 * 52
+    for own in (False, True):
+        found = sparse.cosine_pairs(rows, 0.3, own)
+        got = {(r.src, r.dst): r.c for r in found.collect()}
+        assert got == pytest.approx({p: x for p, x in want.items() if own or p[0] != p[1]}, abs=2e-9) and found.count() == len(got)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    ends = [(n, x) for p, x in want.items() for n in p]
+    degrees = {r.node: (r.degree, r.weighted) for r in sparse.cosine_degrees(rows, 0.3).collect()}
+    assert degrees.keys() == vec.keys()
+    assert all(d == (sum(n == m for m, _ in ends), pytest.approx(sum(x for m, x in ends if n == m), abs=1e-7)) for n, d in degrees.items())
+    monkeypatch.setattr(sparse, "LEFT", 7)
+    left = sparse._Tile([pd.DataFrame({"row": k, "docs": [[d] for d in k], "t": [[hash(t) for t in vec[d]] for d in k], "w": [list(vec[d].values()) for d in k]}) for k in [list(vec)]])
+    found = [(left.row[i], left.row[j]) for x, y, _ in sparse._products(left, left, True, 0.3) for i, j in zip(x, y, strict=True)]
+    assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == {p for p in want if p[0] != p[1]}
