@@ -197,3 +197,22 @@ def test_sparse_cosines_shuffle_rows_and_no_pairs(spark, monkeypatch):
     left = sparse._Tile([pd.DataFrame({"row": k, "docs": [[d] for d in k], "t": [[hash(t) for t in vec[d]] for d in k], "w": [list(vec[d].values()) for d in k]}) for k in [list(vec)]])
     found = [(left.row[i], left.row[j]) for x, y, _ in sparse._products(left, left, True, 0.3) for i, j in zip(x, y, strict=True)]
     assert len(found) == len(set(found)) and {tuple(sorted(p)) for p in found} == {p for p in want if p[0] != p[1]}
+
+
+def test_louvain_of_a_large_part_is_spread(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    ends = [(a, b) for a in range(80) for b in range(a + 1, 80)]
+    rows = [(p, p * 100 + a, p * 100 + b, 1.0 if a // 10 == b // 10 else 0.01) for p in (1, 2) for a, b in ends if a // 10 == b // 10 or rng.random() < 0.1]
+    rows += [(0, a, b, 1.0) for a, b in ((1, 2), (2, 3), (7, 8))]
+    edges = spark.createDataFrame([(p, int(a), int(b), d) for p, a, b, d in rows], "part int, src long, dst long, d double")
+    want = {(p, p * 100 + k): p * 100 + k // 10 * 10 for p in (1, 2) for k in range(80)} | {(0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 7): 7, (0, 8): 7}
+    kept = []
+    level = graph._spread_level
+    monkeypatch.setattr(graph, "_spread_level", lambda *a: kept.append(level(*a)) or kept[-1])
+    for most in (10**6, 100):
+        monkeypatch.setattr(graph, "LOUVAIN_EDGES", most)
+        assert {(r.part, r.node): r.comm for r in graph.louvain(edges).collect()} == want
+    own, between, smaller = kept[0]
+    assert len(kept) == 1 and smaller and {r.part for r in own.collect()} == {1, 2}
+    whole = edges.filter("part > 0").groupBy().sum("d").first()[0]
+    assert between.groupBy().sum("d").first()[0] == pytest.approx(whole) and between.count() < 100
