@@ -216,3 +216,19 @@ def test_louvain_of_a_large_part_is_spread(spark, monkeypatch):
     assert len(kept) == 1 and smaller and {r.part for r in own.collect()} == {1, 2}
     whole = edges.filter("part > 0").groupBy().sum("d").first()[0]
     assert between.groupBy().sum("d").first()[0] == pytest.approx(whole) and between.count() < 100
+
+
+def test_of_large_vocabularies_only_rare_terms_are_joined(spark, monkeypatch):
+    rows = [("a", "x y y z"), ("b", "x z z q"), ("c", "x q p"), ("d", "all x")]
+    terms = spark.createDataFrame([(d, t.split(" ")) for d, t in rows], "doc string, terms array<string>")
+    want = {(r.doc, r.term): r.w for r in threads.passage_weights(terms).collect()}
+    assert "x" not in {t for _, t in want} and len(want) == 7
+    monkeypatch.setattr(threads, "VOCABULARY", 2)  # z and q; y, p and all are in one passage each
+    own = threads.passage_weights(terms)
+    assert "Join" not in own._jdf.queryExecution().toString() and {(r.doc, r.term): r.w for r in own.collect()} == pytest.approx(want)
+    for most in (1, 3):  # nothing is held that is as frequent as what is left out; with a bound on terms too
+        monkeypatch.setattr(threads, "VOCABULARY", most)
+        found = {(r.doc, t): w for r in threads.passage_rows(terms).collect() for t, w in zip(r.terms, r.w, strict=True)}
+        assert found == pytest.approx(want)
+        plain = {(r.doc, r.term): r.w for r in threads.tf_idf(terms.selectExpr("doc", "explode(terms) as term"), max_terms=4).collect()}
+        assert {(r.doc, r.term): r.w for r in threads.passage_weights(terms, max_terms=4).collect()} == pytest.approx(plain)
