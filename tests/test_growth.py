@@ -262,3 +262,33 @@ def test_returned_edges_come_in_order_of_distance(spark, monkeypatch, tmp_path):
     parts = list(graph._by_distance([tuple(d), tuple(d)]))
     assert len(parts) == 3 and (np.diff(np.concatenate([p[2] for p in parts])) >= 0).all() and sum(len(p[0]) for p in parts) == 300
     assert {tuple(x) for p in parts for x in zip(*p, strict=True)} == {tuple(x) for x in zip(*d, strict=True)}
+
+
+def test_of_large_vocabularies_terms_are_held_by_hash(spark, monkeypatch):
+    rows = [("a", "x y y z r"), ("b", "x z z q r"), ("c", "x q p s"), ("d", "all x s t"), ("e", "z t t")]
+    terms = spark.createDataFrame([(d, t.split(" ")) for d, t in rows], "doc string, terms array<string>")
+    want = {(r.doc, r.term): r.w for r in threads.passage_weights(terms, max_df=0.7).collect()}
+    assert len(want) == 14
+    monkeypatch.setattr(threads, "VOCABULARY", 1)
+    as_dict = lambda df: {(r.doc, r.term): r.w for r in df.collect()}
+    own = threads.passage_weights(terms, max_df=0.7)
+    assert "Join" not in own._jdf.queryExecution().toString() and as_dict(own) == pytest.approx(want)
+    df = spark.createDataFrame([("q", 2), ("r", 2), ("s", 2), ("t", 2), ("y", 1), ("p", 1), ("all", 1)], "term string, df long")
+    keys, documents, named = threads._hashed(df)
+    assert len(keys) == 4 and set(documents) == {2} and not named
+    assert set(threads._looked_up({"q", "t", "y", "new"}, keys, documents, np.arange(3.0))) == {"q", "t"}
+    hashed = threads._hash
+    monkeypatch.setattr(threads, "_hash", lambda t: hashed(t) % 3)  # terms that share a hash are held by name
+    keys, documents, named = threads._hashed(df)
+    assert len(keys) + len(named) >= 4 and len(named) > 1 and all(named[t] == k for t, k in df.collect() if t in named)
+    monkeypatch.setattr(threads, "_hash", hashed)
+    monkeypatch.setattr(threads, "HASHED", 3)  # too many to be held: joined
+    own = threads.passage_weights(terms, max_df=0.7)
+    assert "Join" in own._jdf.queryExecution().toString() and as_dict(own) == pytest.approx(want)
+
+
+def test_terms_of_threads_are_not_brought_together(spark):
+    weights = spark.createDataFrame([(k % 3, f"d{k}", f"t{j}", 1.0 + j * k % 7) for k in range(30) for j in range(k % 5 + 1)], "thread_id long, doc string, term string, w double")
+    docs = weights.select("thread_id", "doc").distinct().groupBy("thread_id").count().withColumnRenamed("count", "n")
+    plan = threads.keywords_of_passages(weights, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan  # the best of each task are ranked, not all terms of a thread
